@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension at or under this many rows is shipped to every task.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it holds at most ``max_rows`` rows, else ``df``.
+
+    The check is a bounded action (it stops after ``max_rows + 1`` rows);
+    beyond the bound the join falls back to a shuffle join, which AQE may
+    still turn into a broadcast from the exact runtime size.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
