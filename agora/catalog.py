@@ -28,12 +28,25 @@ SEGMENT = "brand_1"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Bound and cleaned tables per (session, folder). They are lazy, immutable
+# plans, so every query of a session starts from the same ones instead of
+# re-reading footers and re-running the dimension size check.
+_TABLES: dict[tuple, Tables] = {}
+
+
+def _cached(kind: str, spark: SparkSession, sf_dir: str, build) -> Tables:
+    key = (kind, spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = build()
+    return _TABLES[key]
+
+
 def raw(spark: SparkSession, sf_dir: str) -> Tables:
-    return bind_tables(spark, sf_dir)
+    return _cached("raw", spark, sf_dir, lambda: bind_tables(spark, sf_dir))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> Tables:
-    return cleaning.clean_tables(bind_tables(spark, sf_dir))
+    return _cached("clean", spark, sf_dir, lambda: cleaning.clean_tables(raw(spark, sf_dir)))
 
 
 def _dates_as_text(orders: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions.metrics import line_revenue, money, pct, ratio, round_half_up
 from agora.model import Tables
 from agora.operators.category import category_items, order_reviews
+from agora.session import checkpoint_dir
 
 HIGH_RISK, AT_RISK, HEALTHY = "High Risk", "At Risk", "Healthy"
 
@@ -90,11 +91,18 @@ def seller_risk(
     min_orders: int = 100,
 ) -> DataFrame:
     """Q10: flagged sellers with at least ``min_orders`` orders, each with the
-    category it sold most items in (items of every status)."""
+    category it sold most items in (items of every status).
+
+    The flagged sellers (at most one row per seller) are used twice - to
+    restrict the category counts and in the final join - so they are
+    written once to the shared checkpoint folder instead of running the
+    seller metrics (a full pass over items and orders) twice."""
+    checkpoint_dir(t.order_items.sparkSession)
     flagged = (
         seller_metrics(t)
         .withColumn("seller_flag", seller_flag(review_threshold, late_threshold))
         .filter((F.col("order_volume") >= min_orders) & F.col("seller_flag").isin(HIGH_RISK, AT_RISK))
+        .checkpoint()
     )
     # Item counts per (seller, category), only for flagged sellers (a semi
     # join against an aggregate, which AQE broadcasts from its real size).
