@@ -35,7 +35,8 @@ def exact_percentile(
     *,
     accuracy: int = 10_000,
     max_bracket_values: int = 100_000,
-    max_attempts: int = 6,
+    small_input: int = 10_000,
+    max_attempts: int = 8,
 ) -> float | None:
     """PERCENTILE_CONT(p) of ``value`` over ``df`` (NULLs ignored)."""
     if not 0.0 <= p <= 1.0:
@@ -58,12 +59,14 @@ def exact_percentile(
         return None
     pos = p * (n - 1)
     lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    lo_v, hi_v = first["b"]
+    # Few rows: the whole histogram is already small, no bracket needed.
+    lo_v, hi_v = (None, None) if n <= min(small_input, max_bracket_values) else first["b"]
 
     for _ in range(max_attempts):
         # Rows at or below the bracket top; the NULL key collects rows under it.
-        key = F.when(v >= lo_v, v)
-        hist = vals.filter(v <= hi_v).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        scoped = vals if hi_v is None else vals.filter(v <= hi_v)
+        key = v if lo_v is None else F.when(v >= lo_v, v)
+        hist = scoped.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
         rows = hist.limit(max_bracket_values + 2).collect()
         if len(rows) > max_bracket_values + 1:
             # Too many distinct values in the bracket: make the sketch finer.
@@ -73,9 +76,10 @@ def exact_percentile(
             continue
         below = sum(r["c"] for r in rows if r["k"] is None)
         values = sorted((r["k"], r["c"]) for r in rows if r["k"] is not None)
-        if below > lo_rank or below + sum(c for _, c in values) <= hi_rank:
-            # The bracket misses a target rank: widen it.
-            width *= 4
+        missed = max(below - lo_rank, hi_rank + 1 - below - sum(c for _, c in values))
+        if missed > 0:
+            # The bracket misses a target rank: widen it by at least the miss.
+            width = max(width * 4, 2.0 * (missed + 1) / n)
             lo_v, hi_v = bracket(accuracy, width)
             continue
         lo_val = hi_val = None
