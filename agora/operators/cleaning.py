@@ -123,13 +123,15 @@ def flat_orders(t: Tables) -> DataFrame:
     )
 
 
-def clean_tables(raw: Tables, verify_keys: bool = False) -> Tables:
+def clean_tables(raw: Tables, verify_keys: bool = False, broadcast_dims: bool = True) -> Tables:
     """The cleaning pipeline over raw tables.
 
     orders: C2 + C7; reviews: C8 then C11; products: C12; categories: C13
     (broadcast when proven small); payments: C14, with the legs kept aside.
     With ``verify_keys`` the collapsed payments and the orders are checked
-    for unique order ids (C15) - the per-order metrics rely on it.
+    for unique order ids (C15) - the per-order metrics rely on it. Without
+    ``broadcast_dims`` the category size check is left to the caller (for
+    tables that are written and re-read first).
     """
     from agora.operators.quality import assert_unique_key
 
@@ -142,7 +144,9 @@ def clean_tables(raw: Tables, verify_keys: bool = False) -> Tables:
         orders=orders,
         reviews=fill_review_text(flag_has_comment(raw.reviews)),
         products=clean_products(raw.products),
-        product_category=broadcast_if_bounded(extend_category_dim(raw.product_category)),
+        product_category=(broadcast_if_bounded if broadcast_dims else lambda d: d)(
+            extend_category_dim(raw.product_category)
+        ),
         payments=payments,
         payment_legs=raw.payments,
     )

@@ -125,11 +125,13 @@ def windowed_retention(t: Tables, days: int = 180) -> DataFrame:
         .join(t.customers.select("customer_id", "customer_unique_id"), "customer_id")
         .select("customer_unique_id", "ts")
     )
-    last_ts = purchases.agg(F.max("ts")).scalar()  # scalar subquery, runs once
-    first = purchases.groupBy("customer_unique_id").agg(F.min("ts").alias("first_ts"))
+    per_person = purchases.groupBy("customer_unique_id").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    last_ts = per_person.agg(F.max("last_ts")).scalar()  # scalar subquery, runs once
     span = F.make_dt_interval(days=F.lit(days))
-    per_person = (
-        purchases.join(first, "customer_unique_id")
+    flags = (
+        purchases.join(per_person.select("customer_unique_id", "first_ts"), "customer_unique_id")
         .filter(F.col("ts") <= F.col("first_ts") + span)
         .groupBy("customer_unique_id", "first_ts")
         .agg(F.count(F.lit(1)).alias("in_window"))
@@ -139,18 +141,19 @@ def windowed_retention(t: Tables, days: int = 180) -> DataFrame:
             (F.col("in_window") >= 2).alias("repeat"),
         )
     )
-    by_cohort = per_person.groupBy("cohort_month").agg(
-        F.count_if("eligible").alias("eligible_customers"),
-        F.count_if(F.col("eligible") & F.col("repeat")).alias("retained_customers"),
-    )
-    overall = by_cohort.agg(
-        F.lit("ALL").alias("cohort_month"),
-        F.sum("eligible_customers").cast("bigint").alias("eligible_customers"),
-        F.sum("retained_customers").cast("bigint").alias("retained_customers"),
-    )
+    # One grouping-sets aggregate gives each cohort and the total ('ALL').
     return (
-        by_cohort.unionByName(overall)
-        .withColumn("retention_pct", pct("retained_customers", "eligible_customers", 2))
+        flags.rollup("cohort_month")
+        .agg(
+            F.count_if("eligible").alias("eligible_customers"),
+            F.count_if(F.col("eligible") & F.col("repeat")).alias("retained_customers"),
+            F.grouping("cohort_month").alias("is_total"),
+        )
+        .select(
+            F.when(F.col("is_total") == 1, F.lit("ALL")).otherwise(F.col("cohort_month")).alias("cohort_month"),
+            "eligible_customers",
+            "retained_customers",
+            pct("retained_customers", "eligible_customers", 2).alias("retention_pct"),
+        )
         .orderBy("cohort_month")
     )
-

@@ -39,6 +39,23 @@ def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Tables the optimizer estimates in this range are spread over one file per
+# core when written, so later scans of them run in parallel. Larger tables
+# arrive in many partitions already and are written as they come (no
+# shuffle); smaller ones are not worth splitting.
+SPREAD_RANGE_BYTES = (1 << 20, 512 << 20)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    from agora.plans.inspect import estimated_size_bytes
+
+    size = estimated_size_bytes(df)
+    low, high = SPREAD_RANGE_BYTES
+    if size is not None and low <= size <= high:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def write_tables(tables: Tables, base_path: str) -> list[str]:
     """Every table as ``<base_path>/<name>.parquet``, replacing it (the
     collapsed payments under ``payments``, the legs under ``payment_legs``)."""
@@ -48,21 +65,36 @@ def write_tables(tables: Tables, base_path: str) -> list[str]:
     written = []
     for name, df in named.items():
         path = os.path.join(base_path, f"{name}.parquet")
-        df.write.mode("overwrite").parquet(path)
+        _spread(df).write.mode("overwrite").parquet(path)
         written.append(path)
     return written
 
 
-def read_tables(spark: SparkSession, base_path: str) -> Tables:
-    """Tables written by ``write_tables``."""
-    names = ["orders", "customers", "order_items", "payments", "reviews", "products", "sellers", "product_category"]
-    dfs = {n: read_parquet_table(spark, base_path, n) for n in names}
-    for optional in ("geolocation", "payment_legs"):
-        if os.path.exists(os.path.join(base_path, f"{optional}.parquet")):
-            dfs[optional] = read_parquet_table(spark, base_path, optional)
+REQUIRED_TABLES = ["orders", "customers", "order_items", "payments", "reviews", "products", "sellers", "product_category"]
+
+
+def read_tables(spark: SparkSession, base_path: str, optional: tuple[str, ...] = ()) -> Tables:
+    """Tables written by ``write_tables``; ``optional`` names further tables
+    to read (``geolocation``, ``payment_legs``)."""
+    dfs = {n: read_parquet_table(spark, base_path, n) for n in REQUIRED_TABLES + list(optional)}
     return Tables(**dfs)
 
 
+def load_tables(tables: Tables, base_path: str) -> Tables:
+    """Write cleaned tables once and continue from the written copies.
+
+    Every later query scans compact parquet (filters reach its statistics),
+    the cleaning work (payment collapse, category extension) is not redone
+    per query, and lineage is cut: a lost executor re-reads files instead of
+    replaying the cleaning. ``base_path`` belongs in the shared folder."""
+    from agora.plans.joins import broadcast_if_bounded
+
+    write_tables(tables, base_path)
+    optional = tuple(n for n in ("geolocation", "payment_legs") if getattr(tables, n) is not None)
+    loaded = read_tables(tables.orders.sparkSession, base_path, optional)
+    return loaded.with_(product_category=broadcast_if_bounded(loaded.product_category))
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """Replace ``table`` in a JDBC database (driver jar and credentials
     come from the caller; nothing is embedded here)."""
