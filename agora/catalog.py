@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.metrics import timestamp_text
 from agora.model import Tables
 from agora.operators import category, cleaning, customer, delivery, findings, overview, payment, quality, seller
 from agora.session import checkpoint_dir
@@ -69,14 +70,9 @@ def _dates_as_text(orders: DataFrame) -> DataFrame:
     date only at midnight, empty when missing."""
     from agora.sources.schema import ORDER_DATE_COLUMNS
 
-    def text(c: str):
-        ts = F.col(c)
-        shown = F.when(
-            F.date_format(ts, "HH:mm:ss") == "00:00:00", F.date_format(ts, "yyyy-MM-dd")
-        ).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        return F.coalesce(shown, F.lit("")).alias(c)
-
-    return orders.select("order_id", *[text(c) for c in ORDER_DATE_COLUMNS])
+    return orders.select(
+        "order_id", *[F.coalesce(timestamp_text(c), F.lit("")).alias(c) for c in ORDER_DATE_COLUMNS]
+    )
 
 
 def _key_checks(t: Tables) -> DataFrame:

@@ -55,3 +55,16 @@ def line_revenue() -> Column:
 def ts_literal(value: str) -> Column:
     """A timestamp_ntz literal; no session time zone is involved."""
     return F.lit(value).cast("timestamp_ntz")
+
+
+def month_label(ts: str | Column) -> Column:
+    """'yyyy-MM' of a timestamp. Formatting goes through a string cast,
+    which for timestamp_ntz involves no time zone (``date_format`` would
+    convert through the session zone and move times in a DST gap)."""
+    return F.substring(col(ts).cast("string"), 1, 7)
+
+
+def timestamp_text(ts: str | Column) -> Column:
+    """'yyyy-MM-dd HH:mm:ss', or just 'yyyy-MM-dd' at midnight; zone-free."""
+    text = col(ts).cast("string")
+    return F.when(text.endswith(" 00:00:00"), F.substring(text, 1, 10)).otherwise(text)

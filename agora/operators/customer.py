@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.metrics import line_revenue, money, pct, ts_literal
+from agora.functions.metrics import line_revenue, money, month_label, pct, ts_literal
 from agora.model import Tables
 
 
@@ -136,7 +136,7 @@ def windowed_retention(t: Tables, days: int = 180) -> DataFrame:
         .groupBy("customer_unique_id", "first_ts")
         .agg(F.count(F.lit(1)).alias("in_window"))
         .select(
-            F.date_format("first_ts", "yyyy-MM").alias("cohort_month"),
+            month_label("first_ts").alias("cohort_month"),
             (F.col("first_ts") + span <= last_ts).alias("eligible"),
             (F.col("in_window") >= 2).alias("repeat"),
         )

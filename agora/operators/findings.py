@@ -18,6 +18,7 @@ from agora.operators.category import top_categories_by_revenue
 from agora.operators.customer import state_revenue
 from agora.operators.overview import overview_totals
 from agora.operators.seller import seller_scorecard
+from agora.sources.sinks import write_parquet_concurrently
 
 
 def risk_category_spread(seller_risk: DataFrame) -> DataFrame:
@@ -75,13 +76,14 @@ def dashboard_extracts(t: Tables, out_dir: str, min_orders: int = 100) -> DataFr
         "seller_scorecard": seller_scorecard(t, min_orders),
     }
     spark = t.orders.sparkSession
-    parts = []
-    for name, df in extracts.items():
-        path = os.path.join(out_dir, name)
-        df.coalesce(1).write.mode("overwrite").parquet(path)
-        parts.append(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("extract_name"), "n_rows"
-        ))
+    paths = {name: os.path.join(out_dir, name) for name in extracts}
+    write_parquet_concurrently({paths[name]: df.coalesce(1) for name, df in extracts.items()})
+    parts = [
+        spark.read.parquet(paths[name])
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(F.lit(name).alias("extract_name"), "n_rows")
+        for name in extracts
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.metrics import money, pct, round_half_up, ts_literal
+from agora.functions.metrics import money, month_label, pct, round_half_up, ts_literal
 
 # Statuses counted as "in progress" by the status mix.
 IN_PROGRESS_STATUSES = ["shipped", "invoiced", "created", "approved", "processing"]
@@ -56,7 +56,7 @@ def monthly_trend(
     [start, end), months as 'yyyy-MM'."""
     ts = F.col("order_purchase_timestamp")
     in_window = orders.filter((ts >= ts_literal(start)) & (ts < ts_literal(end))).select(
-        "order_id", F.date_format(ts, "yyyy-MM").alias("month")
+        "order_id", month_label(ts).alias("month")
     )
     return (
         in_window.join(payments.select("order_id", "payment_value"), "order_id")

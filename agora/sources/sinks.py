@@ -7,10 +7,12 @@ so re-running a load is idempotent.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.metrics import month_label
 from agora.model import Tables
 from agora.sources.readers import read_parquet_table
 
@@ -25,7 +27,7 @@ def write_flat_table(flat: DataFrame, path: str, max_records_per_file: int = 5_0
     holds some of it, never funnelled into one writer.
     """
     (
-        flat.withColumn(MONTH_COLUMN, F.date_format("order_purchase_timestamp", "yyyy-MM"))
+        flat.withColumn(MONTH_COLUMN, month_label("order_purchase_timestamp"))
         .sortWithinPartitions(MONTH_COLUMN)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_records_per_file)
@@ -56,18 +58,28 @@ def _spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4) -> None:
+    """Replace each ``path -> DataFrame`` as parquet, submitting the
+    independent write jobs from several driver threads so the scheduler
+    can run their stages side by side."""
+
+    def write(item: tuple[str, DataFrame]) -> None:
+        path, df = item
+        df.write.mode("overwrite").parquet(path)
+
+    with ThreadPoolExecutor(max_workers=max_jobs) as pool:
+        list(pool.map(write, outputs.items()))
+
+
 def write_tables(tables: Tables, base_path: str) -> list[str]:
     """Every table as ``<base_path>/<name>.parquet``, replacing it (the
     collapsed payments under ``payments``, the legs under ``payment_legs``)."""
     named = tables.named()
     if tables.payment_legs is not None:
         named["payment_legs"] = tables.payment_legs
-    written = []
-    for name, df in named.items():
-        path = os.path.join(base_path, f"{name}.parquet")
-        _spread(df).write.mode("overwrite").parquet(path)
-        written.append(path)
-    return written
+    outputs = {os.path.join(base_path, f"{name}.parquet"): _spread(df) for name, df in named.items()}
+    write_parquet_concurrently(outputs)
+    return list(outputs)
 
 
 REQUIRED_TABLES = ["orders", "customers", "order_items", "payments", "reviews", "products", "sellers", "product_category"]

@@ -50,3 +50,22 @@ def test_entry_is_flagship(spark):
         "seller_id", "order_volume", "avg_review_score", "late_pct", "seller_flag", "top_category", "items_sold",
     ]
     assert df.count() > 0
+
+
+TIME_KEYS = ["monthly_trend", "delivery_time_overall", "windowed_retention", "coerce_order_dates", "on_time_rate"]
+
+
+@pytest.mark.parametrize("key", TIME_KEYS)
+def test_results_do_not_depend_on_session_time_zone(spark, con, key):
+    # A zone with daylight-saving jumps at midnight: wall-clock timestamps
+    # (timestamp_ntz) must come out the same as under UTC.
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = entry.queries()[key](spark, SF_SMALL)
+        s_rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    cur = con.execute(entry.oracle_sql()[key])
+    d_cols = [c[0] for c in cur.description]
+    assert _rows(df.columns, s_rows, False) == _rows(d_cols, cur.fetchall(), False)
