@@ -42,8 +42,11 @@ def read_csv_tables(
     base_path: str,
     file_names: dict[str, str] | None = None,
     null_token_columns: dict[str, list[str]] | None = None,
+    include_geolocation: bool = True,
 ) -> Tables:
-    """The nine tables of a raw CSV drop (``<table>.csv`` unless renamed)."""
+    """The nine tables of a raw CSV drop (``<table>.csv`` unless renamed).
+    Geolocation is only loaded and stored by the analysis; a drop without it
+    is read with ``include_geolocation=False``."""
     names = file_names or {}
     nulls = null_token_columns or {}
     dfs = {
@@ -51,6 +54,7 @@ def read_csv_tables(
             spark, os.path.join(base_path, names.get(table, f"{table}.csv")), schema, nulls.get(table)
         )
         for table, schema in CSV_TABLES.items()
+        if include_geolocation or table != "geolocation"
     }
     return Tables(**dfs)
 
