@@ -41,21 +41,22 @@ def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Tables the optimizer estimates in this range are spread over one file per
-# core when written, so later scans of them run in parallel. Larger tables
-# arrive in many partitions already and are written as they come (no
-# shuffle); smaller ones are not worth splitting.
-SPREAD_RANGE_BYTES = (1 << 20, 512 << 20)
+# Small tables are spread so later scans of them run in parallel: one file
+# per MiB of estimated size, at most one per core. Tables above the upper
+# bound already arrive in many partitions and are written as they come,
+# without a shuffle.
+SPREAD_MAX_BYTES = 512 << 20
+SPREAD_FILE_BYTES = 1 << 20
 
 
 def _spread(df: DataFrame) -> DataFrame:
     from agora.plans.inspect import estimated_size_bytes
 
     size = estimated_size_bytes(df)
-    low, high = SPREAD_RANGE_BYTES
-    if size is not None and low <= size <= high:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    if size is None or size > SPREAD_MAX_BYTES:
+        return df
+    files = min(df.sparkSession.sparkContext.defaultParallelism, int(size // SPREAD_FILE_BYTES))
+    return df.repartition(files) if files > 1 else df
 
 
 def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4) -> None:

@@ -44,3 +44,26 @@ def test_filters_reach_the_scan_of_written_tables(spark, scratch):
     filters = " ".join(pushed_filters(delivery.on_time_rate(t.orders)))
     assert "EqualTo(order_status,delivered)" in filters
     assert "IsNotNull(order_delivered_customer_date)" in filters
+
+
+def test_per_order_preaggregate_reuses_order_partitioning(spark):
+    # With broadcasts off (both sides large, as at scale) the order joins are
+    # sort-merge joins on order_id; the (seller, order) pre-aggregate must
+    # not add a shuffle of its own - only the per-seller step shuffles.
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        text = plan_text(seller.seller_scorecard(clean(spark, SF_SMALL)), "simple")
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    physical = text.split("== Physical Plan ==")[-1]
+    assert "SortMergeJoin" in physical
+    assert "Exchange hashpartitioning(seller_id" in physical
+    shuffles = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [s for s in shuffles if "seller_id" in s and "order_id" in s]
