@@ -22,13 +22,14 @@ MONTH_COLUMN = "purchase_month"
 def write_flat_table(flat: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """S3: the flat order table as parquet partitioned by purchase month.
 
-    Rows are only sorted by month inside each task (no shuffle): a month
-    holding a large share of the rows is still written by every task that
-    holds some of it, never funnelled into one writer.
+    The REBALANCE hint shuffles rows by month and lets AQE split a month
+    holding a large share of the rows and merge small months, so files come
+    out near the advisory partition size: no task writes a file per month it
+    happens to hold, and no single task writes a hot month.
     """
     (
         flat.withColumn(MONTH_COLUMN, month_label("order_purchase_timestamp"))
-        .sortWithinPartitions(MONTH_COLUMN)
+        .hint("rebalance", MONTH_COLUMN)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(MONTH_COLUMN)
