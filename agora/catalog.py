@@ -9,6 +9,7 @@ operators themselves keep the analysis' defaults.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -32,10 +33,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Bound and cleaned tables per (session, folder): every query of a session
 # starts from the same table plans and the same loaded copy.
-_TABLES: dict[tuple, Tables] = {}
+_TABLES: dict[tuple, Tables | DataFrame] = {}
 
 
-def _cached(kind: str, spark: SparkSession, sf_dir: str, build) -> Tables:
+def _cached(kind: str, spark: SparkSession, sf_dir: str, build):
     key = (kind, spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
     if key not in _TABLES:
         _TABLES[key] = build()
@@ -48,7 +49,8 @@ def raw(spark: SparkSession, sf_dir: str) -> Tables:
 
 def table_dir(spark: SparkSession, sf_dir: str) -> str:
     """Where a session writes the cleaned tables of ``sf_dir`` (shared folder)."""
-    name = os.path.basename(os.path.abspath(sf_dir))
+    folder = os.path.abspath(sf_dir)
+    name = f"{os.path.basename(folder)}-{hashlib.sha1(folder.encode()).hexdigest()[:8]}"
     return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId, name)
 
 
@@ -69,12 +71,13 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat order table, written once per session by the flat-table sink
     (partitioned by purchase month) and read back, as the analysis writes it
     once and queries the written table."""
-    key = ("flat", spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
-    if key not in _TABLES:
+
+    def build() -> DataFrame:
         path = os.path.join(table_dir(spark, sf_dir), "flat_orders")
         sinks.write_flat_table(cleaning.flat_orders(clean(spark, sf_dir)), path)
-        _TABLES[key] = sinks.read_flat_table(spark, path).drop(sinks.MONTH_COLUMN)
-    return _TABLES[key]
+        return sinks.read_flat_table(spark, path).drop(sinks.MONTH_COLUMN)
+
+    return _cached("flat", spark, sf_dir, build)
 
 
 def _dates_as_text(orders: DataFrame) -> DataFrame:

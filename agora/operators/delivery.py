@@ -72,12 +72,10 @@ def on_time_rate(orders: DataFrame) -> DataFrame:
     return counts.select(pct("late", "n", 1).alias("late_pct"), pct("on_time", "n", 1).alias("on_time_pct"))
 
 
-def _scores_by_timeliness(orders: DataFrame, reviews: DataFrame) -> DataFrame:
+def scores_by_timeliness(orders: DataFrame, reviews: DataFrame) -> DataFrame:
     """Review score sums per timeliness bucket over every review (an order
     with two reviews weighs twice). Reviews are summed per order first."""
-    per_order = reviews.groupBy("order_id").agg(
-        F.sum("review_score").alias("s"), F.count("review_score").alias("c"), F.count(F.lit(1)).alias("r")
-    )
+    per_order = reviews.groupBy("order_id").agg(F.sum("review_score").alias("s"), F.count("review_score").alias("c"))
     return (
         _delivered(orders)
         .select("order_id", timeliness().alias("delivery_timeliness"))
@@ -90,7 +88,7 @@ def _scores_by_timeliness(orders: DataFrame, reviews: DataFrame) -> DataFrame:
 def review_by_timeliness(orders: DataFrame, reviews: DataFrame) -> DataFrame:
     """Q6: average review score (2 dp) per timeliness bucket; a NULL bucket
     holds orders without an estimate."""
-    return _scores_by_timeliness(orders, reviews).select(
+    return scores_by_timeliness(orders, reviews).select(
         "delivery_timeliness", round_half_up(ratio("s", "c"), 2).alias("avg_review_score")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.metrics import pct, ratio, round_half_up
 from agora.model import Tables
-from agora.operators.delivery import LATE, ON_TIME, _scores_by_timeliness, on_time_rate
+from agora.operators.delivery import LATE, ON_TIME, scores_by_timeliness, on_time_rate
 from agora.operators.category import top_categories_by_revenue
 from agora.operators.customer import state_revenue
 from agora.operators.overview import overview_totals
@@ -52,7 +52,7 @@ def revenue_top_n_share(t: Tables, n: int = 3) -> DataFrame:
 def timeliness_review_gap(t: Tables) -> DataFrame:
     """Average review of on-time and of late orders (every review counts)
     and the gap between them, taken from the unrounded averages."""
-    by_bucket = _scores_by_timeliness(t.orders, t.reviews)
+    by_bucket = scores_by_timeliness(t.orders, t.reviews)
     bucket = F.col("delivery_timeliness")
     sums = by_bucket.agg(
         ratio(F.sum(F.when(bucket == ON_TIME, F.col("s"))), F.sum(F.when(bucket == ON_TIME, F.col("c")))).alias("on"),

@@ -111,3 +111,23 @@ def test_streaming_ingest_matches_batch(spark, scratch):
     q = ingest_table(spark, "orders", src, target, ckpt)
     q.awaitTermination(120)
     assert spark.read.parquet(target).count() == 4
+
+
+def test_views_serve_the_sql_api(spark):
+    # Tables registered as views answer SQL; Q1 written as SQL equals
+    # the DataFrame operator.
+    from agora.catalog import clean
+    from agora.operators import overview
+    from agora.sources.readers import register_views
+    from tests.conftest import SF_SMALL
+
+    t = clean(spark, SF_SMALL)
+    names = register_views(t, prefix="v_")
+    assert "v_orders" in names and "v_payments" in names
+    sql = spark.sql(
+        """SELECT CAST(ROUND(SUM(p.payment_value), 2) AS DOUBLE) AS total_revenue,
+                  COUNT(DISTINCT o.order_id) AS total_orders
+           FROM v_orders o JOIN v_payments p USING (order_id)"""
+    ).first()
+    df = overview.overview_totals(t.orders, t.payments).first()
+    assert (sql["total_revenue"], sql["total_orders"]) == (df["total_revenue"], df["total_orders"])
