@@ -33,10 +33,9 @@ def _as_csv_layout(df, schema):
 
 
 @pytest.fixture(scope="module")
-def both(spark):
+def csv_drop(spark):
     base = tempfile.mkdtemp(prefix="agora-csv-drop-")
-    t = raw(spark, SF_SMALL)
-    for name, df in t.named().items():
+    for name, df in raw(spark, SF_SMALL).named().items():
         (
             _as_csv_layout(df, CSV_TABLES[name])
             .coalesce(1)
@@ -44,8 +43,13 @@ def both(spark):
             .option("escape", '"')
             .csv(os.path.join(base, f"{name}.csv"))
         )
-    from_csv = cleaning.clean_tables(read_csv_tables(spark, base, include_geolocation=False), verify_keys=True)
-    from_parquet = cleaning.clean_tables(t)
+    return base
+
+
+@pytest.fixture(scope="module")
+def both(spark, csv_drop):
+    from_csv = cleaning.clean_tables(read_csv_tables(spark, csv_drop, include_geolocation=False), verify_keys=True)
+    from_parquet = cleaning.clean_tables(raw(spark, SF_SMALL))
     return from_csv, from_parquet
 
 
@@ -78,3 +82,20 @@ def test_csv_ids_stay_text(both):
     assert from_csv.orders.schema["order_id"].dataType.simpleString() == "string"
     assert from_csv.order_items.schema["price"].dataType.simpleString() == "decimal(18,2)"
     assert from_csv.orders.schema["order_purchase_timestamp"].dataType.simpleString() == "timestamp_ntz"
+
+
+def test_command_line_run_writes_every_result(spark, csv_drop):
+    import __spark_entry__ as entry
+    from agora.__main__ import run
+    from agora.report import Params
+
+    out = tempfile.mkdtemp(prefix="agora-run-")
+    params = Params(trend_start="1996-01-01", trend_end="1997-02-01", segment="brand_1")
+    names = run(spark, csv_drop, out, params, include_geolocation=False)
+    assert len(names) == 29
+    for name in ("seller_risk", "monthly_trend", "category_segment_check", "windowed_retention", "payment_mix"):
+        written = spark.read.parquet(os.path.join(out, "results", name))
+        _same(written, entry.queries()[name](spark, SF_SMALL).select(*written.columns))
+    # The profile describes the CSV layout (text ids, all declared columns).
+    profile = spark.read.parquet(os.path.join(out, "results", "table_profile"))
+    assert profile.filter("table_name = 'orders' AND column_name = 'order_id'").first()["data_type"] == "string"
