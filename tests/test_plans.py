@@ -67,3 +67,31 @@ def test_per_order_preaggregate_reuses_order_partitioning(spark):
     assert "Exchange hashpartitioning(seller_id" in physical
     shuffles = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
     assert not [s for s in shuffles if "seller_id" in s and "order_id" in s]
+
+
+AGGREGATES = ("HashAggregate", "ObjectHashAggregate", "SortAggregate")
+
+
+def _single_partition_inputs(text: str) -> list[str]:
+    """For each Exchange SinglePartition, the first operator below it that
+    is not a Project/Filter/Sort wrapper."""
+    lines = text.split("== Physical Plan ==")[-1].splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            for below in lines[i + 1 :]:
+                node = below.strip(" :+-*()0123456789")
+                if not node.startswith(("Project", "Filter", "Sort ", "ColumnarToRow")):
+                    found.append(node)
+                    break
+    return found
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_single_partition_exchanges_carry_only_aggregated_rows(spark, key):
+    # Whole-result windows and global aggregates funnel into one task; what
+    # they receive must already be aggregated (partial sums, per-state or
+    # per-type rows), never item or order rows.
+    df = entry.queries()[key](spark, SF_SMALL)
+    for node in _single_partition_inputs(plan_text(df, "simple")):
+        assert node.startswith(AGGREGATES), f"{key}: single-partition exchange over {node[:80]}"
