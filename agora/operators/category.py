@@ -3,10 +3,12 @@ the flat table (Q7b), bad-review comments (Q7c), top categories by revenue
 (Q7d), categories of high-value orders (Q16).
 
 Per-category distinct-order counts are taken from a (category, order)
-pre-aggregate rather than COUNT(DISTINCT): the item rows are shuffled once
-on order_id for the order joins, the pre-aggregate reuses that partitioning,
-and the per-category step is a plain partial/final aggregate - no Expand,
-and a category holding a third of all items costs one row per map task.
+pre-aggregate rather than COUNT(DISTINCT): under sort-merge order joins the
+pre-aggregate reuses their order_id partitioning, and the per-category step
+is a plain partial/final aggregate - no Expand, and a category holding a
+third of all items costs one row per map task. Items meet products on
+product_id before the order joins; that join is a broadcast when AQE sees
+the products side is small, otherwise a second shuffle of the item rows.
 """
 
 from __future__ import annotations

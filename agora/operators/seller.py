@@ -33,10 +33,11 @@ def seller_metrics(t: Tables) -> DataFrame:
     item-weighted average of the per-order review average (2 dp) and the
     share of late orders (1 dp).
 
-    Rows are first reduced to one per (seller, order) - the order_id join
-    partitioning already clusters them, so that step adds no shuffle - and
-    the per-seller step is a plain partial/final aggregate (no Expand, and a
-    seller with a third of all items is one row per map task).
+    Rows are first reduced to one per (seller, order). When the order joins
+    are sort-merge joins (large inputs) their order_id partitioning already
+    clusters those rows, so that step adds no shuffle (a plan test checks
+    it); the per-seller step is a plain partial/final aggregate (no Expand,
+    and a seller with a third of all items is one row per map task).
     """
     delivered = t.orders.filter(
         (F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull()
