@@ -30,7 +30,7 @@ def run(spark, csv_dir: str, out_dir: str, params: Params = Params(), include_ge
         "null_audit_products": quality.null_audit(raw.products),
     }
     tables = sinks.load_tables(
-        cleaning.clean_tables(raw, verify_keys=True, broadcast_dims=False), os.path.join(out_dir, "tables")
+        cleaning.clean_tables(raw, broadcast_dims=False), os.path.join(out_dir, "tables"), verify_keys=True
     )
     flat_path = os.path.join(out_dir, "flat_orders")
     sinks.write_flat_table(cleaning.flat_orders(tables), flat_path)

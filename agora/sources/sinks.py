@@ -94,18 +94,25 @@ def read_tables(spark: SparkSession, base_path: str, optional: tuple[str, ...] =
     return Tables(**dfs)
 
 
-def load_tables(tables: Tables, base_path: str) -> Tables:
+def load_tables(tables: Tables, base_path: str, verify_keys: bool = True) -> Tables:
     """Write cleaned tables once and continue from the written copies.
 
     Every later query scans compact parquet (filters reach its statistics),
     the cleaning work (payment collapse, category extension) is not redone
     per query, and lineage is cut: a lost executor re-reads files instead of
-    replaying the cleaning. ``base_path`` belongs in the shared folder."""
+    replaying the cleaning. ``base_path`` belongs in the shared folder.
+    With ``verify_keys`` the written orders and collapsed payments are
+    checked for unique order ids (C15), which the per-order metrics rely on.
+    """
+    from agora.operators.quality import assert_unique_key
     from agora.plans.joins import broadcast_if_bounded
 
     write_tables(tables, base_path)
     optional = tuple(n for n in ("geolocation", "payment_legs") if getattr(tables, n) is not None)
     loaded = read_tables(tables.orders.sparkSession, base_path, optional)
+    if verify_keys:
+        assert_unique_key(loaded.orders, ["order_id"])
+        assert_unique_key(loaded.payments, ["order_id"])
     return loaded.with_(product_category=broadcast_if_bounded(loaded.product_category))
 
 

@@ -131,3 +131,13 @@ def test_views_serve_the_sql_api(spark):
     ).first()
     df = overview.overview_totals(t.orders, t.payments).first()
     assert (sql["total_revenue"], sql["total_orders"]) == (df["total_revenue"], df["total_orders"])
+
+
+def test_load_refuses_repeated_order_ids(spark, scratch):
+    import pytest
+
+    from agora.operators.quality import DuplicateKeyError
+
+    t = tables(spark, orders=[order("A"), order("A", status="canceled")], items=[item("A")])
+    with pytest.raises(DuplicateKeyError):
+        sinks.load_tables(t, os.path.join(scratch, "dup_orders"))
