@@ -141,3 +141,16 @@ def test_load_refuses_repeated_order_ids(spark, scratch):
     t = tables(spark, orders=[order("A"), order("A", status="canceled")], items=[item("A")])
     with pytest.raises(DuplicateKeyError):
         sinks.load_tables(t, os.path.join(scratch, "dup_orders"))
+
+
+def test_streaming_ingest_of_reviews_flags_before_filling(spark, scratch):
+    src = tempfile.mkdtemp(prefix="agora-stream-rev-")
+    _drop(src, "reviews", REVIEWS_CSV)
+    target = os.path.join(scratch, "stream_reviews")
+    q = ingest_table(spark, "reviews", src, target, os.path.join(scratch, "stream_reviews_ckpt"))
+    q.awaitTermination(120)
+    got = {r["review_id"]: r for r in spark.read.parquet(target).collect()}
+    assert got["r1"]["has_comment"] is True
+    assert got["r1"]["review_comment_message"].startswith("arrived fine,\n")
+    assert got["r2"]["has_comment"] is False
+    assert (got["r2"]["review_comment_message"], got["r2"]["review_comment_title"]) == ("", "NA")
