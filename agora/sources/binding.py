@@ -6,6 +6,10 @@ is written in DuckDB SQL for the oracle (``agora.oracle``); both must give
 identical rows. Every role is a narrow projection of a scan, so column
 pruning and filters still reach the parquet reader.
 
+The modulo rules below derive values deterministically (a status, a missing
+date, whether an order has a first and a second review, a missing category
+or weight); they are not samples: every row of every driver table is used.
+
 k = o_orderkey, p = p_partkey below.
 """
 
