@@ -36,7 +36,9 @@ def run(spark, csv_dir: str, out_dir: str, params: Params = Params(), include_ge
     sinks.write_flat_table(cleaning.flat_orders(tables), flat_path)
     flat = sinks.read_flat_table(spark, flat_path).drop(sinks.MONTH_COLUMN)
     results = {**quality_reports, **analyses(tables, flat, params)}
-    outputs = {os.path.join(out_dir, "results", name): df.coalesce(1) for name, df in results.items()}
+    # No coalesce(1): it would pull each result's last stage into one task;
+    # AQE already merges small outputs into few files.
+    outputs = {os.path.join(out_dir, "results", name): df for name, df in results.items()}
     sinks.write_parquet_concurrently(outputs)
     return sorted(results)
 

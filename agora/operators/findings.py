@@ -77,7 +77,7 @@ def dashboard_extracts(t: Tables, out_dir: str, min_orders: int = 100) -> DataFr
     }
     spark = t.orders.sparkSession
     paths = {name: os.path.join(out_dir, name) for name in extracts}
-    write_parquet_concurrently({paths[name]: df.coalesce(1) for name, df in extracts.items()})
+    write_parquet_concurrently({paths[name]: df for name, df in extracts.items()})
     parts = [
         spark.read.parquet(paths[name])
         .agg(F.count(F.lit(1)).alias("n_rows"))
