@@ -49,8 +49,10 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when that is unset
-    (a bare local session, as in some tests) a private folder is made.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a local-mode session
+    (tests) without one gets a private temporary folder; on a cluster a
+    machine-local folder would not be shared by the executors, so an unset
+    setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,5 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="agora-ckpt-"))
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at a folder every executor can reach"
+            )
+        configured = tempfile.mkdtemp(prefix="agora-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
