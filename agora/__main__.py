@@ -18,11 +18,24 @@ from agora.operators import cleaning, quality
 from agora.report import Params, analyses
 from agora.session import build_session
 from agora.sources import sinks
-from agora.sources.readers import read_csv_tables
+from agora.sources.readers import read_csv_tables, string_columns
+from agora.sources.schema import CSV_TABLES
 
 
-def run(spark, csv_dir: str, out_dir: str, params: Params = Params(), include_geolocation: bool = True) -> list[str]:
-    raw = read_csv_tables(spark, csv_dir, include_geolocation=include_geolocation)
+def run(
+    spark,
+    csv_dir: str,
+    out_dir: str,
+    params: Params = Params(),
+    include_geolocation: bool = True,
+    null_tokens: bool = True,
+) -> list[str]:
+    """With ``null_tokens`` the missing-value tokens of the original load
+    (``NA``, ``null``, ...) become NULL in every text column."""
+    token_columns = {t: string_columns(schema) for t, schema in CSV_TABLES.items()} if null_tokens else None
+    raw = read_csv_tables(
+        spark, csv_dir, null_token_columns=token_columns, include_geolocation=include_geolocation
+    )
     quality_reports = {
         "table_profile": quality.table_profile(raw.named()),
         "null_audit_orders": quality.null_audit(raw.orders),
@@ -48,12 +61,17 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--csv", required=True, help="folder with <table>.csv for the nine tables")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--no-geolocation", action="store_true", help="the drop has no geolocation table")
+    ap.add_argument("--keep-null-tokens", action="store_true", help="keep NA, null, ... as text")
     for f in dataclasses.fields(Params):
         ap.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
     args = ap.parse_args(argv)
     params = Params(**{f.name: getattr(args, f.name) for f in dataclasses.fields(Params)})
     spark = build_session()
-    for name in run(spark, args.csv, args.out, params, include_geolocation=not args.no_geolocation):
+    names = run(
+        spark, args.csv, args.out, params,
+        include_geolocation=not args.no_geolocation, null_tokens=not args.keep_null_tokens,
+    )
+    for name in names:
         print(name)
 
 

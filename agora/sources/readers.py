@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from agora.model import Tables
 from agora.sources.schema import CSV_TABLES
 
-# Tokens a spreadsheet-style loader reads as missing. Spark's CSV reader
-# keeps them as text, so they are mapped to NULL per column on request.
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>"]
+# The tokens pandas' read_csv treats as missing by default
+# (its documented na_values), which the original load relied on. Spark's CSV
+# reader keeps them as text, so they are mapped to NULL per column on request.
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def string_columns(schema) -> list[str]:
+    """Names of the string columns of a schema (where tokens can appear)."""
+    return [f.name for f in schema.fields if f.dataType.simpleString() == "string"]
 
 
 def read_csv_table(
