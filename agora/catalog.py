@@ -109,7 +109,7 @@ def _key_checks(t: Tables) -> DataFrame:
 
 
 def _extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out_dir = os.path.join(checkpoint_dir(spark), "dashboard_extracts", os.path.basename(sf_dir.rstrip("/")))
+    out_dir = os.path.join(table_dir(spark, sf_dir), "dashboard_extracts")
     return findings.dashboard_extracts(clean(spark, sf_dir), out_dir)
 
 
