@@ -12,7 +12,10 @@ values. This version keeps every pass distributed:
    it is fetched) to the two order statistics and interpolates.
 
 If the bracket misses the target ranks it is widened; if it holds too many
-distinct values the sketch is made finer. The answer is always exact.
+distinct values it is cut into equal-width buckets (one bounded aggregate:
+count, min, max per bucket) and only the buckets holding the target ranks
+are kept, so memory stays bounded however large the input. The answer is
+always exact.
 Interpolation follows SQL's PERCENTILE_CONT: lo + (hi - lo) * fraction.
 """
 
@@ -28,6 +31,46 @@ def _value_column(value: str | Column) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
 
+NARROW_BUCKETS = 4096
+
+
+def _narrow(
+    vals: DataFrame, lo_v: float | None, hi_v: float | None, lo_rank: int, hi_rank: int
+) -> tuple[float, float]:
+    """The smallest run of equal-width buckets of [lo_v, hi_v] that holds
+    ranks lo_rank..hi_rank, as its actual (min, max) values. Falls back to
+    the whole value range when the ranks lie outside the bracket."""
+    v = F.col("v")
+    if lo_v is None or hi_v is None:
+        lo_v, hi_v = vals.agg(F.min("v"), F.max("v")).first()
+    if lo_v == hi_v:
+        return lo_v, hi_v
+    step = (hi_v - lo_v) / NARROW_BUCKETS
+    bucket = F.when(v < lo_v, F.lit(-1)).otherwise(
+        F.least(F.floor((v - F.lit(lo_v)) / F.lit(step)).cast("int"), F.lit(NARROW_BUCKETS - 1))
+    )
+    rows = sorted(
+        vals.filter(v <= hi_v)
+        .groupBy(bucket.alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .collect(),
+        key=lambda r: r["b"],
+    )
+    start, found_lo, found_hi = 0, None, None
+    for r in rows:
+        end = start + r["c"]
+        if r["b"] >= 0 and found_lo is None and lo_rank < end:
+            found_lo = r["lo"] if start <= lo_rank else None
+        if r["b"] >= 0 and hi_rank < end:
+            found_hi = r["hi"]
+            break
+        start = end
+    if found_lo is None or found_hi is None:
+        # The ranks lie outside this bracket; the full range always holds them.
+        return _narrow(vals, None, None, lo_rank, hi_rank)
+    return found_lo, found_hi
+
+
 def exact_percentile(
     df: DataFrame,
     value: str | Column,
@@ -69,10 +112,9 @@ def exact_percentile(
         hist = scoped.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
         rows = hist.limit(max_bracket_values + 2).collect()
         if len(rows) > max_bracket_values + 1:
-            # Too many distinct values in the bracket: make the sketch finer.
-            accuracy *= 10
-            width /= 10
-            lo_v, hi_v = bracket(accuracy, width)
+            # Too many distinct values in the bracket: keep only the buckets
+            # of it that hold the target ranks.
+            lo_v, hi_v = _narrow(vals, lo_v, hi_v, lo_rank, hi_rank)
             continue
         below = sum(r["c"] for r in rows if r["k"] is None)
         values = sorted((r["k"], r["c"]) for r in rows if r["k"] is not None)

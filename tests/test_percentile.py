@@ -51,3 +51,18 @@ def test_empty_and_invalid(spark):
     assert exact_percentile(df_of(spark, [None]), "v", 0.5) is None
     with pytest.raises(ValueError):
         exact_percentile(df_of(spark, [1.0]), "v", 1.5)
+
+
+@pytest.mark.parametrize("p", [0.1, 0.5, 0.75])
+def test_narrowing_path_with_many_distinct_values(spark, p, monkeypatch):
+    # A coarse sketch leaves thousands of distinct values in the bracket and
+    # the histogram limit is tiny, so the bucket narrowing must do the work.
+    import agora.functions.percentile as mod
+
+    calls = []
+    real = mod._narrow
+    monkeypatch.setattr(mod, "_narrow", lambda *a: calls.append(1) or real(*a))
+    values = [i * 0.001 for i in range(5000)] + [float(i) for i in range(0, 5000, 7)]
+    got = exact_percentile(df_of(spark, values), "v", p, accuracy=100, max_bracket_values=2, small_input=0)
+    assert got == reference(values, p)
+    assert calls
