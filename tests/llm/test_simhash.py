@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import random
+import re
+
+import xxhash
+from agora.llm.simhash import fingerprint, fingerprints, links, near_duplicates
+
+
+def brute_fingerprint(text: str | None) -> int:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints: list[int], most: int) -> list[int]:
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i, x in enumerate(prints):
+            for j, y in enumerate(prints):
+                if (x ^ y).bit_count() <= most and label[i] < label[j]:
+                    label[j], changed = label[i], True
+    return label
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_fingerprint_equals_brute_force():
+    rng = random.Random(1)
+    for size in (0, 1, 2, 3, 4, 50, 700):
+        text = " \n".join(rng.choice(["Ä", "The", "the", "x\x1cy", "é", "WORD"]) for _ in range(size))
+        assert fingerprint(text.encode(), 3) == signed(brute_fingerprint(text))
+
+
+def clustered(rng: random.Random, centres: int, members: int) -> list[int]:
+    out = []
+    for _ in range(centres):
+        x = rng.getrandbits(64)
+        for _ in range(members):
+            out.append(x)
+            for _ in range(rng.randint(0, 4)):
+                x ^= 1 << rng.randrange(64)
+    return out
+
+
+def test_links_connect_what_all_pairs_connect(spark):
+    rng = random.Random(2)
+    for most, block in ((3, 1000), (3, 5), (1, 4), (2, 1000), (5, 7)):
+        prints = sorted(set(clustered(rng, 12, 15)) | {0, 1, (1 << 64) - 1})
+        rows = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
+        got = [(r.a, r.b) for r in links(rows, most, block).collect()]
+        at = {signed(x): k for k, x in enumerate(prints)}
+        assert all((a ^ b) % (1 << 64) >= 0 and at[a] != at[b] for a, b in got)
+        label = list(range(len(prints)))
+        for _ in prints:
+            for a, b in got:
+                label[at[a]] = label[at[b]] = min(label[at[a]], label[at[b]])
+        wanted = brute_components(prints, most)
+        assert len(set(zip(label, wanted, strict=True))) == len(set(label)) == len(set(wanted))
+
+
+def test_rows_of_every_kind(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(400)]
+    near = [*base[:200], "changed", *base[201:]]
+    rows = [
+        (5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (9, " ".join(base)), (4, "A b"), (2, "a  B\n"),
+        (7, None), (8, ""), (None, " "), (None, "alone here now"), (1, " ".join(rng.choice(words) for _ in range(30_000))),
+    ]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int")
+    got = sorted(map(tuple, near_duplicates(docs).collect()), key=str)
+    prints = [brute_fingerprint(t) for _, t in rows]
+    label = brute_components(prints, 3)
+    wanted = []
+    for k, (doc_id, _) in enumerate(rows):
+        ids = [i for (i, _), x in zip(rows, label, strict=True) if x == label[k] and i is not None]
+        wanted.append((doc_id, signed(prints[k]), min(ids, default=None)))
+    assert got == sorted(wanted, key=str)
+    assert near_duplicates(docs.limit(0)).count() == 0
+    assert fingerprints(docs).count() == len(rows)
