@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, repetition, simhash
+from agora.llm import bpe, curriculum, repetition, secret_scan, simhash
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,11 +31,34 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, base spans as a digest."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    found = curriculum.schedule(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_curriculum_mix": op10_curriculum_mix,
 }
 
 #: Where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_secret_scan": op8_secret_scan,
+    "op10_curriculum_mix": curriculum.SCHEDULE_SQL,
+}
