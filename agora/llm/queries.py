@@ -59,6 +59,5 @@ QUERIES: dict[str, Query] = {
 
 #: Where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
-    "op8_secret_scan": op8_secret_scan,
     "op10_curriculum_mix": curriculum.SCHEDULE_SQL,
 }
