@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from agora.llm.common import bounded_slices
+from agora.llm.common import bounded_slices, map_arrow
 
 #: The byte-level pre-token pattern and Unicode white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 [part.column("doc_id"), pa.ListArray.from_arrays(offsets, ids), pa.array(sizes)], schema=out
             )
 
-    return _inputs(docs).mapInArrow(run, ENCODED)
+    return map_arrow(_inputs(docs), run, ENCODED)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -275,7 +275,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], schema=out
             )
 
-    return _inputs(docs).mapInArrow(run, DIGEST)
+    return map_arrow(_inputs(docs), run, DIGEST)
 
 
 def _inputs(docs: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from agora.session import checkpoint_dir
 
@@ -34,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package where the driver
+    found it. On a cluster it is installed or shipped with --py-files; this
+    covers a checkout that is on the driver's path only."""
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([*paths, root])
+    return df.mapInArrow(run, schema)
+
+
 def bounded_slices(
     batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, repetition, secret_scan, simhash
+from agora.llm import bpe, curriculum, repetition, secret_scan, simhash, token_files, toxicity
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+
+#: A document is called toxic from this score on.
+TOXIC = 0.3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +35,23 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to Arrow files and read back."""
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, base spans as a digest."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -53,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_curriculum_mix": op10_curriculum_mix,
 }

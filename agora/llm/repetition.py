@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from agora.llm.common import bounded_slices, split_words
+from agora.llm.common import bounded_slices, map_arrow, split_words
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -208,4 +208,4 @@ def repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> D
                 [pc.cast(found[f.name], f.type) if f.name == "doc_id" else pa.array(found[f.name], f.type) for f in OUT], schema=OUT
             )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agora.llm.common import bounded_slices, materialize
+from agora.llm.common import bounded_slices, map_arrow, materialize
 from agora.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = [fingerprint(t, shingle) for t in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], schema=out)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, FINGERPRINTS)
+    return map_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, FINGERPRINTS)
 
 
 def embedding(fp: Column) -> Column:
@@ -192,7 +192,7 @@ def links(distinct: DataFrame, max_distance: int = 3, block: int = 1000) -> Data
             )
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
 
 
 def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
