@@ -250,32 +250,37 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return map_arrow(_inputs(docs), run, ENCODED)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes each row's whole text: token count and SHA-256 of
-    the ids (little-endian unsigned 32-bit) and of the decoded UTF-8 text.
+    the ids (little-endian unsigned 32-bit) and of the decoded UTF-8 text;
+    ``keep_ids`` adds the ids.
 
     Null text counts as empty (0 tokens); a null doc_id stays null; repeated
     rows each give a row; other columns are ignored; empty in, empty out.
     """
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    ids_type = pa.list_(pa.int32())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for part in bounded_slices(batches, "text"):
-            counts, ids_hash, text_hash = [], [], []
+            counts, ids_hash, text_hash, kept = [], [], [], []
             for text in part.column("text").fill_null("").to_pylist():
                 packed = own.encode(text)
                 decoded = hashlib.sha256()
                 for piece in own.decode(np.frombuffer(packed, "<u4")):
                     decoded.update(piece.encode())
                 counts.append(len(packed) // 4)
+                if keep_ids:
+                    kept.append(np.frombuffer(packed, "<i4"))
                 ids_hash.append(hashlib.sha256(packed).hexdigest())
                 text_hash.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], schema=out
             )
+            yield rows.append_column("ids", pa.array(kept, ids_type)) if keep_ids else rows
 
-    return map_arrow(_inputs(docs), run, DIGEST)
+    return map_arrow(_inputs(docs), run, DIGEST + ", ids array<int>" * keep_ids)
 
 
 def _inputs(docs: DataFrame) -> DataFrame:

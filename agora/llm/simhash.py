@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from agora.llm.common import bounded_slices, map_arrow, materialize
 from agora.llm.components import components
@@ -54,14 +55,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(values)).view(">i8")[0])
 
 
+def _prints(texts: pa.Array, shingle: int) -> pa.Array:
+    return pa.array([fingerprint(t, shingle) for t in texts.cast(pa.binary()).fill_null(b"").to_pylist()], pa.int64())
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of each row of ``docs`` (doc_id, text); null text: no words."""
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded_slices(batches, "text"):
-            found = [fingerprint(t, shingle) for t in part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], schema=out)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _prints(part.column("text"), shingle)], schema=out)
 
     return map_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, FINGERPRINTS)
 
@@ -208,6 +212,21 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
         yield True, held
 
 
+def classes(distinct: DataFrame, max_distance: int = 3) -> DataFrame:
+    """Components of distinct fingerprints (fp, first): fp, root (a
+    fingerprint that names the component) and least, the smallest ``first``
+    of the component (nulls aside)."""
+    found = components(links(distinct.select("fp"), max_distance))
+    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
+    least = member.groupBy("root").agg(F.min("first").alias("least"))
+    linked = member.join(least, "root").select("fp", "root", "least")
+    return distinct.join(linked, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"),
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp (signed 64-bit)
     and component_id, the smallest doc_id among all documents reachable over
@@ -220,13 +239,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct.select("fp"), max_distance))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")
-    )
     # Written first: both sides are then plain scans, and a fingerprint that
     # a third of all rows share is split by the skew join.
-    return prints.join(materialize(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    found = materialize(classes(distinct, max_distance).select("fp", F.col("least").alias("component_id")), "classes")
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component, that of the
+    smallest doc_id (nulls last; among equal ids any one); all columns stay."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].cast("string").alias("text"))
+    schema = StructType([rows.schema["doc"], StructField("fp", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bounded_slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc"), _prints(part.column("text"), shingle)], names=["doc", "fp"])
+
+    # The row numbers are fixed by writing them.
+    rows = materialize(map_arrow(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
+    doc_id = F.col("doc.doc_id").cast("long")
+    first = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row"))
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    kept = materialize(classes(distinct, max_distance).select("least.row").distinct(), "kept")
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
