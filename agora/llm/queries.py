@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, repetition, secret_scan, simhash, token_files, toxicity
+from agora.llm import bpe, curriculum, repetition, secret_scan, simhash, token_files, toxicity, vafile
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
@@ -72,6 +77,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op3_vector_file_search": op3_vector_file_search,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_files": op6_token_files,
@@ -82,5 +88,6 @@ QUERIES: dict[str, Query] = {
 
 #: Where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
+    "op3_vector_file_search": vafile.TOP_K_SQL,
     "op10_curriculum_mix": curriculum.SCHEDULE_SQL,
 }
