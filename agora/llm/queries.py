@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, repetition, secret_scan, simhash, token_files, toxicity, vafile
+from agora.llm import bpe, curriculum, html_content, repetition, secret_scan, simhash, token_files, toxicity, vafile
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -69,6 +69,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.fit(pages))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     found = curriculum.schedule(table(spark, sf_dir, "documents"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_marginals": op9_html_marginals,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
