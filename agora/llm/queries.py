@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, html_content, repetition, secret_scan, simhash, token_files, toxicity, vafile
+from agora.llm import bpe, curriculum, html_content, licenses, repetition, secret_scan, simhash, token_files, toxicity, vafile
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every document, as a tree of files."""
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
 def op3_vector_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -83,6 +88,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_license_scan": op2_license_scan,
     "op3_vector_file_search": op3_vector_file_search,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
 
 #: Where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.SCAN_SQL,
     "op3_vector_file_search": vafile.TOP_K_SQL,
     "op10_curriculum_mix": curriculum.SCHEDULE_SQL,
 }
