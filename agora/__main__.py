@@ -2,10 +2,10 @@
 
     python -m agora --csv /data/drop --out /shared/analysis [--segment office_furniture ...]
 
-Reads the nine tables with declared schemas, profiles and audits them,
-cleans them (checking the order keys), writes the cleaned tables and the
-flat table under ``--out``, then writes every analysis result as parquet
-under ``--out/results/<name>``.
+Reads the nine tables with declared schemas, counts unreadable rows, profiles
+and audits them, cleans them (checking the order keys), writes the cleaned
+tables, the flat table and the dashboard extracts under ``--out``, then writes
+every report and analysis result as parquet under ``--out/results/<name>``.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import argparse
 import dataclasses
 import os
 
-from agora.operators import cleaning, quality
+from agora.operators import cleaning, findings, quality
 from agora.report import Params, analyses
-from agora.session import build_session
+from agora.session import build_session, drop_written
 from agora.sources import sinks
-from agora.sources.readers import read_csv_tables, string_columns
+from agora.sources.readers import corrupt_rows, read_csv_tables, string_columns
 from agora.sources.schema import CSV_TABLES
 
 
@@ -37,22 +37,36 @@ def run(
         spark, csv_dir, null_token_columns=token_columns, include_geolocation=include_geolocation
     )
     quality_reports = {
+        **{f"preview_{name}": quality.preview(df) for name, df in raw.named().items()},
+        "csv_corrupt_rows": corrupt_rows(spark, csv_dir, include_geolocation=include_geolocation),
         "table_profile": quality.table_profile(raw.named()),
         "null_audit_orders": quality.null_audit(raw.orders),
         "null_audit_reviews": quality.null_audit(raw.reviews),
         "null_audit_products": quality.null_audit(raw.products),
+        "order_status_counts": quality.value_counts(raw.orders, "order_status", "n_orders"),
+        "review_score_counts": quality.value_counts(raw.reviews, "review_score", "n_reviews"),
     }
-    tables = sinks.load_tables(
-        cleaning.clean_tables(raw, broadcast_dims=False), os.path.join(out_dir, "tables"), verify_keys=True
-    )
+    tables = sinks.load_tables(cleaning.clean_tables(raw), os.path.join(out_dir, "tables"), verify_keys=True)
     flat_path = os.path.join(out_dir, "flat_orders")
     sinks.write_flat_table(cleaning.flat_orders(tables), flat_path)
     flat = sinks.read_flat_table(spark, flat_path).drop(sinks.MONTH_COLUMN)
-    results = {**quality_reports, **analyses(tables, flat, params)}
+    load_reports = {
+        "invalid_delivered": cleaning.invalid_delivered(tables.orders),
+        "review_mean_by_comment": quality.review_mean_by_comment(tables.reviews),
+        "review_dist_by_comment": quality.review_dist_by_comment(tables.reviews),
+        "key_check_orders": quality.key_check(tables.orders, ["order_id"]),
+        "key_check_payments": quality.key_check(tables.payments, ["order_id"]),
+        "flat_row_check": quality.flat_row_check(tables.orders, flat),
+        "dashboard_extracts": findings.dashboard_extracts(
+            tables, os.path.join(out_dir, "dashboard_extracts"), params.seller_min_orders
+        ),
+    }
+    results = {**quality_reports, **load_reports, **analyses(tables, flat, params)}
     # No coalesce(1): it would pull each result's last stage into one task;
     # AQE already merges small outputs into few files.
     outputs = {os.path.join(out_dir, "results", name): df for name, df in results.items()}
     sinks.write_parquet_concurrently(outputs)
+    drop_written(spark)
     return sorted(results)
 
 

@@ -9,8 +9,8 @@ operators themselves keep the analysis' defaults.
 
 from __future__ import annotations
 
-import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,62 +22,59 @@ from agora.operators import category, cleaning, customer, delivery, findings, ov
 from agora.session import checkpoint_dir
 from agora.sources import sinks
 from agora.sources.binding import bind_tables
+from agora.sources.readers import register_views
 
 # Parameters for the driver's tables (purchases run 1995-2001, categories
 # are brand names): a 13-month trend window and the examined category.
 TREND_WINDOW = ("1996-01-01", "1997-02-01")
 SEGMENT = "brand_1"
+# Over all years nearly every customer comes back; before this day some do.
+REPEAT_BEFORE = "1995-05-01"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# Bound and cleaned tables per (session, folder): every query of a session
-# starts from the same table plans and the same loaded copy.
-_TABLES: dict[tuple, Tables | DataFrame] = {}
-
-
-def _cached(kind: str, spark: SparkSession, sf_dir: str, build):
-    key = (kind, spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
-    if key not in _TABLES:
-        _TABLES[key] = build()
-    return _TABLES[key]
+def raw(spark: SparkSession, sf_dir: str) -> Tables:
+    return bind_tables(spark, sf_dir)
 
 
-def raw(spark: SparkSession, sf_dir: str) -> Tables:
-    return _cached("raw", spark, sf_dir, lambda: bind_tables(spark, sf_dir))
+def clean(spark: SparkSession, sf_dir: str) -> Tables:
+    """Cleaned tables as lazy plans over the source files: a query reads and
+    cleans what it needs, nothing is copied. Who runs many queries over one
+    load prepares the tables once with ``sinks.load_tables`` and opens them
+    with ``sinks.read_tables`` in any later session."""
+    return cleaning.clean_tables(raw(spark, sf_dir))
 
 
-def table_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Where a session writes the cleaned tables of ``sf_dir`` (shared folder)."""
-    folder = os.path.abspath(sf_dir)
-    name = f"{os.path.basename(folder)}-{hashlib.sha1(folder.encode()).hexdigest()[:8]}"
-    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId, name)
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat order table, built from the cleaned tables."""
+    return cleaning.flat_orders(clean(spark, sf_dir))
 
 
-def clean(spark: SparkSession, sf_dir: str) -> Tables:
-    """Cleaned tables, loaded once per session as the analysis does (clean,
-    write the tables, then query them)."""
-    return _cached(
-        "clean",
-        spark,
-        sf_dir,
-        lambda: sinks.load_tables(
-            cleaning.clean_tables(raw(spark, sf_dir), broadcast_dims=False), table_dir(spark, sf_dir)
-        ),
+def _stored_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table through its sink and back: rows per purchase month."""
+    path = os.path.join(_out_dir(spark), "flat_orders")
+    sinks.write_flat_table(flat(spark, sf_dir), path)
+    stored = sinks.read_flat_table(spark, path)
+    return stored.groupBy(F.col(sinks.MONTH_COLUMN).cast("string").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("order_id").alias("n_orders")
     )
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat order table, written once per session by the flat-table sink
-    (partitioned by purchase month) and read back, as the analysis writes it
-    once and queries the written table."""
+def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised tables through their sink and back, queried by name
+    through SQL views: rows per table."""
+    loaded = sinks.load_tables(clean(spark, sf_dir), os.path.join(_out_dir(spark), "tables"))
+    prefix = f"stored_{uuid.uuid4().hex[:8]}_"
+    names = register_views(loaded, prefix)
+    return spark.sql(
+        " UNION ALL ".join(f"SELECT '{n.removeprefix(prefix)}' AS table_name, count(*) AS n_rows FROM {n}" for n in names)
+    )
 
-    def build() -> DataFrame:
-        path = os.path.join(table_dir(spark, sf_dir), "flat_orders")
-        sinks.write_flat_table(cleaning.flat_orders(clean(spark, sf_dir)), path)
-        return sinks.read_flat_table(spark, path).drop(sinks.MONTH_COLUMN)
 
-    return _cached("flat", spark, sf_dir, build)
+def _out_dir(spark: SparkSession) -> str:
+    """A new folder for written results, under the shared folder."""
+    return os.path.join(checkpoint_dir(spark), "written", uuid.uuid4().hex)
 
 
 def _dates_as_text(orders: DataFrame) -> DataFrame:
@@ -109,8 +106,7 @@ def _key_checks(t: Tables) -> DataFrame:
 
 
 def _extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out_dir = os.path.join(table_dir(spark, sf_dir), "dashboard_extracts")
-    return findings.dashboard_extracts(clean(spark, sf_dir), out_dir)
+    return findings.dashboard_extracts(clean(spark, sf_dir), os.path.join(_out_dir(spark), "dashboard_extracts"))
 
 
 QUERIES: dict[str, Query] = {
@@ -133,6 +129,8 @@ QUERIES: dict[str, Query] = {
     "order_payments": lambda s, d: clean(s, d).payments,
     "assert_unique_key": lambda s, d: _key_checks(clean(s, d)),
     "flat_orders": flat,
+    "stored_flat_by_month": _stored_flat,
+    "stored_tables": _stored_tables,
     "flat_row_check": lambda s, d: quality.flat_row_check(clean(s, d).orders, flat(s, d)),
     # business overview
     "overview_totals": lambda s, d: (lambda t: overview.overview_totals(t.orders, t.payments))(clean(s, d)),
@@ -161,6 +159,7 @@ QUERIES: dict[str, Query] = {
     # customers
     "revenue_by_state": lambda s, d: customer.revenue_by_state(clean(s, d)),
     "repeat_customers": lambda s, d: customer.repeat_customers(clean(s, d)),
+    "repeat_customers_early": lambda s, d: customer.repeat_customers(clean(s, d), purchased_before=REPEAT_BEFORE),
     "spend_per_customer_by_state": lambda s, d: customer.spend_per_customer_by_state(clean(s, d)),
     "windowed_retention": lambda s, d: customer.windowed_retention(clean(s, d)),
     # payments

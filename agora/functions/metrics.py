@@ -33,6 +33,15 @@ def ratio(numer: str | Column, denom: str | Column) -> Column:
     return col(numer).cast("double") / F.nullif(col(denom), F.lit(0)).cast("double")
 
 
+def mean(total: str | Column, count: str | Column, scale: int = 2) -> Column:
+    """total / count rounded to ``scale``, NULL for a zero count.
+
+    The exact sum is divided in floating point: a decimal division would
+    first cut the quotient to a few places (1.0049997 to 1.005) and the
+    rounding would then be of that (1.01 where 1.00 is right)."""
+    return round_half_up(ratio(total, count), scale)
+
+
 def pct(numer: str | Column, denom: str | Column, scale: int) -> Column:
     """numer * 100 / denom rounded to ``scale``; NULL for a zero denominator.
 

@@ -1,21 +1,19 @@
-"""Exact PERCENTILE_CONT without gathering every distinct value in one task.
+"""Exact PERCENTILE_CONT without gathering values in one task.
 
 The built-in ``percentile_cont`` merges a value -> count map of the whole
 input into a single task, so its memory grows with the number of distinct
-values. This version keeps every pass distributed:
-
-1. one aggregate: row count plus an approximate bracket around the target
-   quantile (``percentile_approx`` is a mergeable sketch);
-2. one aggregate over rows up to the bracket's top: the number of rows
-   below the bracket and a (value, count) histogram inside it;
-3. the driver walks that histogram (bounded by the bracket, checked before
-   it is fetched) to the two order statistics and interpolates.
-
-If the bracket misses the target ranks it is widened; if it holds too many
-distinct values it is cut into equal-width buckets (one bounded aggregate:
-count, min, max per bucket) and only the buckets holding the target ranks
-are kept, so memory stays bounded however large the input. The answer is
-always exact.
+values. Here the order statistic is closed in on instead, one path for every
+input:
+
+1. ``percentile_approx``, a mergeable sketch, proposes three values of the
+   current range around the wanted rank;
+2. one aggregate counts the rows below and up to each of them, exactly;
+3. either one of the values holds the rank, or the rank lies strictly
+   between two of them (or outside all three), which is the next range.
+
+A range loses its ends in every step, so the search always ends, and it
+holds about a sketch's rank error of rows after a step: a few steps, whatever
+the size or the shape of the values. Only counts come to the driver.
 Interpolation follows SQL's PERCENTILE_CONT: lo + (hi - lo) * fraction.
 """
 
@@ -27,114 +25,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _value_column(value: str | Column) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("double")
-
-
-NARROW_BUCKETS = 4096
-
-
-def _narrow(
-    vals: DataFrame, lo_v: float | None, hi_v: float | None, lo_rank: int, hi_rank: int
-) -> tuple[float, float]:
-    """The smallest run of equal-width buckets of [lo_v, hi_v] that holds
-    ranks lo_rank..hi_rank, as its actual (min, max) values. Falls back to
-    the whole value range when the ranks lie outside the bracket."""
+def _order_statistic(vals: DataFrame, rank: int, n: int, accuracy: int) -> tuple[float, int]:
+    """The value of 0-based ``rank`` among the ``n`` rows of ``vals`` (v), and
+    the number of rows up to that value."""
     v = F.col("v")
-    if lo_v is None or hi_v is None:
-        lo_v, hi_v = vals.agg(F.min("v"), F.max("v")).first()
-    if lo_v == hi_v:
-        return lo_v, hi_v
-    step = (hi_v - lo_v) / NARROW_BUCKETS
-    bucket = F.when(v < lo_v, F.lit(-1)).otherwise(
-        F.least(F.floor((v - F.lit(lo_v)) / F.lit(step)).cast("int"), F.lit(NARROW_BUCKETS - 1))
-    )
-    rows = sorted(
-        vals.filter(v <= hi_v)
-        .groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect(),
-        key=lambda r: r["b"],
-    )
-    start, found_lo, found_hi = 0, None, None
-    for r in rows:
-        end = start + r["c"]
-        if r["b"] >= 0 and found_lo is None and lo_rank < end:
-            found_lo = r["lo"] if start <= lo_rank else None
-        if r["b"] >= 0 and hi_rank < end:
-            found_hi = r["hi"]
-            break
-        start = end
-    if found_lo is None or found_hi is None:
-        # The ranks lie outside this bracket; the full range always holds them.
-        return _narrow(vals, None, None, lo_rank, hi_rank)
-    return found_lo, found_hi
+    low: float | None = None
+    high: float | None = None
+    below = 0  # rows up to ``low``
+    while True:
+        scope = vals
+        if low is not None:
+            scope = scope.filter(v > F.lit(low))
+        if high is not None:
+            scope = scope.filter(v < F.lit(high))
+        at, slack = (rank - below + 0.5) / n, 2.0 / accuracy
+        fractions = [max(at - slack, 0.0), min(at, 1.0), min(at + slack, 1.0)]
+        pivots = scope.agg(F.percentile_approx("v", fractions, accuracy).alias("b")).first()["b"]
+        counts = scope.agg(
+            *[F.count_if(v < F.lit(x)).alias(f"lt{k}") for k, x in enumerate(pivots)],
+            *[F.count_if(v <= F.lit(x)).alias(f"le{k}") for k, x in enumerate(pivots)],
+        ).first()
+        start, ends = below, None
+        for k, x in enumerate(pivots):
+            if rank < start + counts[f"lt{k}"]:
+                high, ends = x, start + counts[f"lt{k}"]
+                break
+            if rank < start + counts[f"le{k}"]:
+                return x, start + counts[f"le{k}"]
+            low, below = x, start + counts[f"le{k}"]
+        n = (ends if ends is not None else start + n) - below
 
 
-def exact_percentile(
-    df: DataFrame,
-    value: str | Column,
-    p: float,
-    *,
-    accuracy: int = 10_000,
-    max_bracket_values: int = 100_000,
-    small_input: int = 10_000,
-    max_attempts: int = 8,
-) -> float | None:
+def exact_percentile(df: DataFrame, value: str | Column, p: float, *, accuracy: int = 10_000) -> float | None:
     """PERCENTILE_CONT(p) of ``value`` over ``df`` (NULLs ignored)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError(f"percentile must lie in [0, 1], got {p}")
-    vals = df.select(_value_column(value).alias("v")).filter(F.col("v").isNotNull())
-    v = F.col("v")
-
-    def bracket(acc: int, w: float) -> list[float]:
-        return vals.agg(
-            F.percentile_approx("v", [max(p - w, 0.0), min(p + w, 1.0)], acc).alias("b")
-        ).first()["b"]
-
-    width = 2.0 / accuracy
-    first = vals.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [max(p - width, 0.0), min(p + width, 1.0)], accuracy).alias("b"),
-    ).first()
-    n = first["n"]
-    if n == 0:
+    column = F.col(value) if isinstance(value, str) else value
+    vals = df.select(column.cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = vals.count()
+    if not n:
         return None
     pos = p * (n - 1)
-    lo_rank, hi_rank = math.floor(pos), math.ceil(pos)
-    # Few rows: the whole histogram is already small, no bracket needed.
-    lo_v, hi_v = (None, None) if n <= min(small_input, max_bracket_values) else first["b"]
-
-    for _ in range(max_attempts):
-        # Rows at or below the bracket top; the NULL key collects rows under it.
-        scoped = vals if hi_v is None else vals.filter(v <= hi_v)
-        key = v if lo_v is None else F.when(v >= lo_v, v)
-        hist = scoped.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-        rows = hist.limit(max_bracket_values + 2).collect()
-        if len(rows) > max_bracket_values + 1:
-            # Too many distinct values in the bracket: keep only the buckets
-            # of it that hold the target ranks.
-            lo_v, hi_v = _narrow(vals, lo_v, hi_v, lo_rank, hi_rank)
-            continue
-        below = sum(r["c"] for r in rows if r["k"] is None)
-        values = sorted((r["k"], r["c"]) for r in rows if r["k"] is not None)
-        missed = max(below - lo_rank, hi_rank + 1 - below - sum(c for _, c in values))
-        if missed > 0:
-            # The bracket misses a target rank: widen it by at least the miss.
-            width = max(width * 4, 2.0 * (missed + 1) / n)
-            lo_v, hi_v = bracket(accuracy, width)
-            continue
-        lo_val = hi_val = None
-        start = below
-        for val, c in values:
-            end = start + c  # this value holds ranks [start, end)
-            if lo_val is None and lo_rank < end:
-                lo_val = val
-            if hi_rank < end:
-                hi_val = val
-                break
-            start = end
-        if lo_rank == hi_rank or lo_val == hi_val:
-            return float(lo_val)
-        return lo_val + (hi_val - lo_val) * (pos - lo_rank)
-    raise RuntimeError("exact_percentile did not converge; raise max_bracket_values")
+    rank = math.floor(pos)
+    lo, up_to = _order_statistic(vals, rank, n, accuracy)
+    if pos == rank or rank + 1 < up_to:
+        return float(lo)
+    # The next order statistic is the smallest larger value.
+    hi = vals.filter(F.col("v") > F.lit(lo)).agg(F.min("v")).first()[0]
+    return lo + (hi - lo) * (pos - rank)

@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.metrics import days_between, line_revenue, money, pct, ratio, round_half_up
+from agora.functions.metrics import days_between, line_revenue, mean, money, pct, round_half_up
 from agora.functions.percentile import exact_percentile
 from agora.model import Tables
 from agora.operators.delivery import timeliness
-from agora.session import checkpoint_dir
+from agora.session import written
 
 
 def order_reviews(reviews: DataFrame) -> DataFrame:
@@ -28,18 +28,25 @@ def order_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
 
 
-def category_items(t: Tables, *extra: str) -> DataFrame:
-    """Items with the English name of their product's category as
-    ``category``. Inner joins: items whose product was dropped or whose
-    category has no translation fall out."""
+def category_products(t: Tables) -> DataFrame:
+    """(product_id, category): products with the English name of their
+    category. Products whose category has no translation fall out."""
     return (
-        t.order_items.select("order_id", "product_id", *extra)
-        .join(t.products.select("product_id", "product_category_name"), "product_id")
+        t.products.select("product_id", "product_category_name")
         .join(t.product_category, "product_category_name")
-        .select("order_id", F.col("product_category_name_english").alias("category"), *extra)
+        .select("product_id", F.col("product_category_name_english").alias("category"))
     )
 
 
+def category_items(t: Tables, *extra: str) -> DataFrame:
+    """Items with the English name of their product's category as
+    ``category``. The category is joined at product grain first, so item
+    rows meet one dimension relation. Items whose product was dropped or
+    whose category has no translation fall out."""
+    items = t.order_items.select("order_id", "product_id", *extra)
+    return items.join(category_products(t), "product_id").select("order_id", "category", *extra)
+
+
 def _delivered_ids(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("order_status") == "delivered").select("order_id")
 
@@ -76,8 +83,8 @@ def category_performance(t: Tables, min_orders: int = 100, limit: int = 20) -> D
             "category",
             money("rev").alias("total_revenue"),
             "order_volume",
-            round_half_up(F.col("rev") / F.nullif(F.col("order_volume"), F.lit(0)), 2).alias("revenue_per_order"),
-            round_half_up(ratio("score_sum", "score_n"), 2).alias("avg_review_score"),
+            mean("rev", "order_volume").alias("revenue_per_order"),
+            mean("score_sum", "score_n").alias("avg_review_score"),
             F.col("low_reviews").cast("bigint").alias("low_reviews"),
             F.col("high_reviews").cast("bigint").alias("high_reviews"),
         )
@@ -114,7 +121,9 @@ def category_segment_check(flat: DataFrame, segment: str) -> DataFrame:
 def bad_review_comments(t: Tables, category: str, max_score: int = 3) -> DataFrame:
     """Distinct messages of reviews scored at most ``max_score`` on
     orders with an item in ``category`` (a semi join: no item fan-out)."""
-    in_category = category_items(t).filter(F.col("category") == category).select("order_id")
+    # The filter leaves one category's products before items are joined.
+    products = category_products(t).filter(F.col("category") == category)
+    in_category = t.order_items.select("order_id", "product_id").join(products, "product_id").select("order_id")
     return (
         t.reviews.filter(F.col("review_score") <= max_score)
         .join(in_category, "order_id", "left_semi")
@@ -141,13 +150,13 @@ def high_value_categories(
     order total. Shares are of all high-value orders (also those without a
     category); an order counts once in each of its categories.
 
-    Order totals feed the two percentile passes and the final query, so they
-    are written once to the shared checkpoint folder. The threshold is a
-    literal and the high-value count a scalar subquery: no cross join.
+    Order totals feed the percentile passes and the final query, so they are
+    written once as parquet in the shared folder (the percentile reads the
+    value column only). The threshold is a literal and the high-value count
+    a scalar subquery: no cross join.
     """
-    checkpoint_dir(t.order_items.sparkSession)
-    totals = (
-        t.order_items.groupBy("order_id").agg(F.sum(line_revenue()).alias("order_value")).checkpoint()
+    totals = written(
+        t.order_items.groupBy("order_id").agg(F.sum(line_revenue()).alias("order_value")), "order_totals"
     )
     threshold = exact_percentile(totals, "order_value", p)
     high = totals.filter(F.col("order_value").cast("double") > F.lit(threshold)).select("order_id")

@@ -11,18 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.model import Tables
-from agora.plans.joins import broadcast_if_bounded
 from agora.sources.schema import ORDER_DATE_COLUMNS
 
 UNKNOWN_CATEGORY = "unknown"
 
 
+# Text that is a date or a timestamp; anything else (a year, a month, a zone
+# suffix) is not what the files declare.
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"
+
+
 def coerce_order_dates(orders: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Text timestamps become timestamp_ntz; text that is not a date or
-    timestamp (including the empty string) becomes NULL. Already typed
-    columns pass through unchanged."""
-    cols = [c for c in (columns or ORDER_DATE_COLUMNS) if c in orders.columns]
-    return orders.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in cols})
+    """Text timestamps ('yyyy-MM-dd HH:mm:ss' or 'yyyy-MM-dd') become
+    timestamp_ntz, no time zone involved; any other text becomes NULL.
+    Already typed columns pass through unchanged."""
+    text = {f.name for f in orders.schema if f.dataType.simpleString() == "string"}
+    cols = [c for c in (columns or ORDER_DATE_COLUMNS) if c in text]
+    return orders.withColumns({c: F.when(F.col(c).rlike(DATE_TEXT), F.col(c)).try_cast("timestamp_ntz") for c in cols})
 
 
 def invalid_delivered(orders: DataFrame) -> DataFrame:
@@ -86,16 +91,18 @@ def flat_orders(t: Tables) -> DataFrame:
     items (with product category and translation), collapsed payment and
     reviews. One row per order x item x review.
 
-    Items are enriched with their product first (item grain), and customers
-    are attached at order grain, so the only joins on the fanned-out rows are
-    the order_id joins, which share one hash partitioning. Right-side keys
+    Products get their translation at product grain, items then meet one
+    relation, and customers are attached at order grain, so the only joins on
+    the fanned-out rows are the order_id joins, which share one hash
+    partitioning. Right-side keys
     are never NULL, so SQL and dataframe NULL-key matching agree.
     """
     cust = t.customers.select("customer_id", "customer_city", "customer_state")
-    items = (
-        t.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value")
-        .join(t.products.select("product_id", "product_category_name"), "product_id", "left")
-        .join(t.product_category, "product_category_name", "left")
+    products = t.products.select("product_id", "product_category_name").join(
+        t.product_category, "product_category_name", "left"
+    )
+    items = t.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value").join(
+        products, "product_id", "left"
     )
     pays = t.payments.select("order_id", "payment_type", "payment_value")
     revs = t.reviews.select("order_id", "review_score", "review_comment_title", "review_comment_message")
@@ -123,15 +130,13 @@ def flat_orders(t: Tables) -> DataFrame:
     )
 
 
-def clean_tables(raw: Tables, verify_keys: bool = False, broadcast_dims: bool = True) -> Tables:
+def clean_tables(raw: Tables, verify_keys: bool = False) -> Tables:
     """The cleaning pipeline over raw tables.
 
-    orders: C2 + C7; reviews: C8 then C11; products: C12; categories: C13
-    (broadcast when proven small); payments: C14, with the legs kept aside.
-    With ``verify_keys`` the collapsed payments and the orders are checked
-    for unique order ids (C15) - the per-order metrics rely on it. Without
-    ``broadcast_dims`` the category size check is left to the caller (for
-    tables that are written and re-read first).
+    orders: C2 + C7; reviews: C8 then C11; products: C12; categories: C13;
+    payments: C14, with the legs kept aside. Nothing is written: the other
+    tables are those of ``raw``. With ``verify_keys`` the collapsed payments
+    and the orders are checked for unique order ids (C15).
     """
     from agora.operators.quality import assert_unique_key
 
@@ -144,9 +149,7 @@ def clean_tables(raw: Tables, verify_keys: bool = False, broadcast_dims: bool =
         orders=orders,
         reviews=fill_review_text(flag_has_comment(raw.reviews)),
         products=clean_products(raw.products),
-        product_category=(broadcast_if_bounded if broadcast_dims else lambda d: d)(
-            extend_category_dim(raw.product_category)
-        ),
+        product_category=extend_category_dim(raw.product_category),
         payments=payments,
         payment_legs=raw.payments,
     )

@@ -67,8 +67,8 @@ def timeliness_review_gap(t: Tables) -> DataFrame:
 
 def dashboard_extracts(t: Tables, out_dir: str, min_orders: int = 100) -> DataFrame:
     """Write the dashboard's inputs (totals, on-time rate, top categories,
-    seller scorecard) as parquet under ``out_dir`` and report rows written,
-    read back from the files."""
+    seller scorecard) as parquet under ``out_dir`` and return their values
+    as read back from the files."""
     extracts = {
         "overview_totals": overview_totals(t.orders, t.payments),
         "on_time_rate": on_time_rate(t.orders),
@@ -78,12 +78,15 @@ def dashboard_extracts(t: Tables, out_dir: str, min_orders: int = 100) -> DataFr
     spark = t.orders.sparkSession
     paths = {name: os.path.join(out_dir, name) for name in extracts}
     write_parquet_concurrently({paths[name]: df for name, df in extracts.items()})
-    parts = [
-        spark.read.parquet(paths[name])
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.lit(name).alias("extract_name"), "n_rows")
-        for name in extracts
-    ]
+    # Every value of every extract, as read back: extract, a row's key, field, value.
+    keys = {"top_categories_by_revenue": "category", "seller_scorecard": "seller_id"}
+    parts = []
+    for name, path in paths.items():
+        stored = spark.read.parquet(path)
+        key = F.col(keys[name]).cast("string") if name in keys else F.lit("")
+        fields = [c for c in stored.columns if c != keys.get(name)]
+        cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in fields])
+        parts.append(stored.select(F.lit(name).alias("extract_name"), key.alias("row_key"), F.inline(cells)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.metrics import money, month_label, pct, round_half_up, ts_literal
+from agora.functions.metrics import mean, money, month_label, pct, ts_literal
 
 # Statuses counted as "in progress" by the status mix.
 IN_PROGRESS_STATUSES = ["shipped", "invoiced", "created", "approved", "processing"]
@@ -22,7 +22,7 @@ def overview_totals(orders: DataFrame, payments: DataFrame) -> DataFrame:
     return totals.select(
         money("revenue").alias("total_revenue"),
         "total_orders",
-        round_half_up(F.col("revenue") / F.nullif(F.col("total_orders"), F.lit(0)), 2).alias("avg_order_value"),
+        mean("revenue", "total_orders").alias("avg_order_value"),
     )
 
 

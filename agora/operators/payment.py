@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.metrics import money, pct
+from agora.functions.metrics import mean, money, pct
 
 
 def payment_mix(payments: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def payment_mix(payments: DataFrame) -> DataFrame:
     per_order = payments.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("order_value"))
     per_type = per_order.groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("n_orders"),
-        F.avg("order_value").alias("avg_value"),
+        F.count("order_value").alias("n_values"),
         F.sum("order_value").alias("revenue"),
     )
     everything = Window.partitionBy()
@@ -31,7 +31,7 @@ def payment_mix(payments: DataFrame) -> DataFrame:
         "payment_type",
         "n_orders",
         pct("n_orders", F.sum("n_orders").over(everything), 2).alias("pct_of_orders"),
-        money("avg_value").alias("avg_order_value"),
+        mean("revenue", "n_values").alias("avg_order_value"),
         money("revenue").alias("total_revenue"),
         pct("revenue", F.sum("revenue").over(everything), 2).alias("pct_of_revenue"),
     ).orderBy(F.desc("pct_of_orders"), "payment_type")

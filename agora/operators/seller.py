@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.metrics import line_revenue, money, pct, ratio, round_half_up
 from agora.model import Tables
-from agora.operators.category import category_items, order_reviews
-from agora.session import checkpoint_dir
+from agora.operators.category import category_products, order_reviews
 
 HIGH_RISK, AT_RISK, HEALTHY = "High Risk", "At Risk", "Healthy"
 
@@ -33,7 +32,8 @@ def seller_metrics(t: Tables) -> DataFrame:
     item-weighted average of the per-order review average (2 dp) and the
     share of late orders (1 dp).
 
-    Rows are first reduced to one per (seller, order). When the order joins
+    Rows are first reduced to one per (seller, order), so repeated orders
+    count once, as distinct orders do. When the order joins
     are sort-merge joins (large inputs) their order_id partitioning already
     clusters those rows, so that step adds no shuffle (a plan test checks
     it); the per-seller step is a plain partial/final aggregate (no Expand,
@@ -49,8 +49,14 @@ def seller_metrics(t: Tables) -> DataFrame:
         t.order_items.select("order_id", "seller_id")
         .join(delivered, "order_id")
         .join(order_reviews(t.reviews), "order_id", "left")
-        .groupBy("seller_id", "order_id", "late", "review_score")
-        .agg(F.count(F.lit(1)).alias("n_items"))
+        .groupBy("seller_id", "order_id")
+        .agg(
+            # An order has one review average; a repeated order row is late
+            # if any of its rows is.
+            F.max("late").alias("late"),
+            F.max("review_score").alias("review_score"),
+            F.count(F.lit(1)).alias("n_items"),
+        )
     )
     score, n = F.col("review_score"), F.col("n_items")
     per_seller = per_order.groupBy("seller_id").agg(
@@ -94,24 +100,21 @@ def seller_risk(
     """Q10: flagged sellers with at least ``min_orders`` orders, each with the
     category it sold most items in (items of every status).
 
-    The flagged sellers (at most one row per seller) are used twice - to
-    restrict the category counts and in the final join - so they are
-    written once to the shared checkpoint folder instead of running the
-    seller metrics (a full pass over items and orders) twice."""
-    checkpoint_dir(t.order_items.sparkSession)
+    Items are counted per (seller, product) before anything is joined, so
+    the shuffle carries one row per pair and map task: a seller holding a
+    third of all items is spread over its products. The counts then meet one
+    product-category relation and are summed per (seller, category)."""
     flagged = (
         seller_metrics(t)
         .withColumn("seller_flag", seller_flag(review_threshold, late_threshold))
         .filter((F.col("order_volume") >= min_orders) & F.col("seller_flag").isin(HIGH_RISK, AT_RISK))
-        .checkpoint()
     )
-    # Item counts per (seller, category), only for flagged sellers (a semi
-    # join against an aggregate, which AQE broadcasts from its real size).
     counts = (
-        category_items(t, "seller_id")
-        .join(flagged.select("seller_id"), "seller_id", "left_semi")
+        t.order_items.groupBy("seller_id", "product_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(category_products(t), "product_id")
         .groupBy("seller_id", "category")
-        .agg(F.count(F.lit(1)).alias("items_sold"))
+        .agg(F.sum("n").alias("items_sold"))
     )
     # Ranking runs over the aggregated counts: at most one row per category
     # per seller. Equal counts go to the first category name.

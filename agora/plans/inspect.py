@@ -32,15 +32,3 @@ def read_schemas(df: DataFrame) -> list[str]:
 
 def pushed_filters(df: DataFrame) -> list[str]:
     return re.findall(r"PushedFilters: \[([^\]]*)\]", plan_text(df, "simple"))
-
-
-_UNITS = {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30, "TiB": 2**40, "PiB": 2**50, "EiB": 2**60}
-
-
-def estimated_size_bytes(df: DataFrame) -> float | None:
-    """The optimizer's size estimate of ``df`` (no job runs), from
-    ``explain("cost")``; None when no estimate is printed."""
-    m = re.search(r"Statistics\(sizeInBytes=([0-9.E+]+) ?([A-Za-z]+)", plan_text(df, "cost"))
-    if not m:
-        return None
-    return float(m.group(1)) * _UNITS.get(m.group(2), 1)

@@ -7,8 +7,9 @@ defaults apply only to sessions it builds itself (tests, bench, CLI).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are designed around. AQE re-plans joins from
 # runtime sizes (dimension sides become broadcasts once their exact size
@@ -69,3 +70,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="agora-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a relation as parquet to a new folder under the shared one and
+    read it back: later uses prune columns, the planner knows its size, and
+    a lost executor re-reads files instead of replaying the work."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/written/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Remove everything ``written`` has put into the session's shared
+    folder; call it when the results that read it are no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/written")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.delete(path, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from agora.model import Tables
 from agora.sources.schema import CSV_TABLES
@@ -24,26 +26,70 @@ def string_columns(schema) -> list[str]:
     return [f.name for f in schema.fields if f.dataType.simpleString() == "string"]
 
 
+# Only reviews carry free text with line breaks; the other files can be split.
+MULTI_LINE_TABLES = frozenset(["reviews"])
+
+CORRUPT_COLUMN = "_corrupt_record"
+
+
+class CsvHeaderError(ValueError):
+    """A CSV file lacks declared columns."""
+
+
+def csv_options(table: str, mode: str = "PERMISSIVE") -> dict[str, str]:
+    """Reader options of a CSV table, for batch and stream alike: header row,
+    quoted fields, doubled quotes as escapes, no inference. Every file's
+    header must agree with the schema (``enforceSchema`` off)."""
+    return {
+        "header": "true",
+        "multiLine": str(table in MULTI_LINE_TABLES).lower(),
+        "quote": '"',
+        "escape": '"',
+        "mode": mode,
+        "enforceSchema": "false",
+        "columnNameOfCorruptRecord": CORRUPT_COLUMN,
+    }
+
+
+def header_schema(spark: SparkSession, path: str, schema: StructType) -> StructType:
+    """The declared schema in the order of the file's header; further columns
+    are read as text (and dropped by the caller). Raises if one is missing."""
+    first = spark.read.text(path).first()
+    names = next(csv.reader([first[0].lstrip("\ufeff")])) if first else [f.name for f in schema]
+    declared = {f.name: f for f in schema}
+    missing = [n for n in declared if n not in names]
+    if missing:
+        raise CsvHeaderError(f"{path}: missing columns {missing}, found {names}")
+    return StructType([declared.get(n, StructField(n, StringType())) for n in names])
+
+
+def null_tokens_out(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """The missing-value tokens of the original load as NULL in ``columns``."""
+    for name in columns or []:
+        df = df.withColumn(name, F.when(~F.col(name).isin(NULL_TOKENS), F.col(name)))
+    return df
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str,
-    schema,
+    schema: StructType,
     null_token_columns: list[str] | None = None,
+    table: str = "reviews",
+    mode: str = "PERMISSIVE",
+    keep_corrupt: bool = False,
 ) -> DataFrame:
-    """One CSV table with a declared schema: header row, quoted fields that
-    may span lines, doubled quotes as escapes, no inference."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    for name in null_token_columns or []:
-        df = df.withColumn(name, F.when(~F.col(name).isin(NULL_TOKENS), F.col(name)))
-    return df
+    """One CSV table with a declared schema, its columns found by name.
+
+    ``mode`` PERMISSIVE turns what can't be read into NULL
+    (``keep_corrupt`` adds the raw line of such rows; ``corrupt_rows`` counts
+    them), FAILFAST raises instead."""
+    found = header_schema(spark, path, schema)
+    if keep_corrupt:
+        found = StructType([*found.fields, StructField(CORRUPT_COLUMN, StringType())])
+    df = spark.read.schema(found).options(**csv_options(table, mode)).csv(path)
+    kept = [f.name for f in schema] + [CORRUPT_COLUMN] * keep_corrupt
+    return null_tokens_out(df.select(*kept), null_token_columns)
 
 
 def read_csv_tables(
@@ -52,22 +98,46 @@ def read_csv_tables(
     file_names: dict[str, str] | None = None,
     null_token_columns: dict[str, list[str]] | None = None,
     include_geolocation: bool = True,
+    mode: str = "PERMISSIVE",
 ) -> Tables:
     """The nine tables of a raw CSV drop (``<table>.csv`` unless renamed).
     Geolocation is only loaded and stored by the analysis; a drop without it
     is read with ``include_geolocation=False``."""
-    names = file_names or {}
     nulls = null_token_columns or {}
     dfs = {
-        table: read_csv_table(
-            spark, os.path.join(base_path, names.get(table, f"{table}.csv")), schema, nulls.get(table)
-        )
-        for table, schema in CSV_TABLES.items()
-        if include_geolocation or table != "geolocation"
+        table: read_csv_table(spark, path, CSV_TABLES[table], nulls.get(table), table, mode)
+        for table, path in _csv_paths(base_path, file_names, include_geolocation).items()
     }
     return Tables(**dfs)
 
 
+def _csv_paths(base_path: str, file_names: dict[str, str] | None, include_geolocation: bool) -> dict[str, str]:
+    names = file_names or {}
+    return {
+        t: os.path.join(base_path, names.get(t, f"{t}.csv")) for t in CSV_TABLES if include_geolocation or t != "geolocation"
+    }
+
+
+def corrupt_rows(
+    spark: SparkSession, base_path: str, file_names: dict[str, str] | None = None, include_geolocation: bool = True
+) -> DataFrame:
+    """Per table of a CSV drop: rows, and rows of which some value could not
+    be read (wrong number of fields, text where a number belongs). The
+    checksum makes the reader parse every column."""
+    out = None
+    for table, path in _csv_paths(base_path, file_names, include_geolocation).items():
+        schema = CSV_TABLES[table]
+        df = read_csv_table(spark, path, schema, table=table, keep_corrupt=True)
+        part = df.agg(
+            F.lit(table).alias("table_name"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count(CORRUPT_COLUMN).alias("n_corrupt"),
+            F.bit_xor(F.xxhash64(*[f.name for f in schema])).alias("checksum"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_parquet_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """A parquet table stored as ``<base_dir>/<name>.parquet`` (file or folder)."""
     return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))

@@ -8,14 +8,12 @@ sums are exact and independent of the order partitions are combined in.
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    BooleanType,
     DecimalType,
     DoubleType,
     IntegerType,
     StringType,
     StructField,
     StructType,
-    TimestampNTZType,
 )
 
 MONEY = DecimalType(18, 2)
@@ -38,13 +36,6 @@ def _s(*names: str) -> list[StructField]:
 # are coerced by the cleaning step.
 ORDERS_CSV = StructType(_s("order_id", "customer_id", "order_status", *ORDER_DATE_COLUMNS))
 
-ORDERS = StructType(
-    _s("order_id", "customer_id", "order_status")
-    + [StructField(c, TimestampNTZType(), True) for c in ORDER_DATE_COLUMNS]
-)
-
-ORDERS_CLEAN = StructType(ORDERS.fields + [StructField("is_invalid_delivered", BooleanType(), False)])
-
 CUSTOMERS = StructType(
     _s("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
 )

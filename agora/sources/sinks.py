@@ -42,24 +42,6 @@ def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Small tables are spread so later scans of them run in parallel: one file
-# per MiB of estimated size, at most one per core. Tables above the upper
-# bound already arrive in many partitions and are written as they come,
-# without a shuffle.
-SPREAD_MAX_BYTES = 512 << 20
-SPREAD_FILE_BYTES = 1 << 20
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    from agora.plans.inspect import estimated_size_bytes
-
-    size = estimated_size_bytes(df)
-    if size is None or size > SPREAD_MAX_BYTES:
-        return df
-    files = min(df.sparkSession.sparkContext.defaultParallelism, int(size // SPREAD_FILE_BYTES))
-    return df.repartition(files) if files > 1 else df
-
-
 def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4) -> None:
     """Replace each ``path -> DataFrame`` as parquet, submitting the
     independent write jobs from several driver threads so the scheduler
@@ -75,11 +57,12 @@ def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4)
 
 def write_tables(tables: Tables, base_path: str) -> list[str]:
     """Every table as ``<base_path>/<name>.parquet``, replacing it (the
-    collapsed payments under ``payments``, the legs under ``payment_legs``)."""
+    collapsed payments under ``payments``, the legs under ``payment_legs``).
+    REBALANCE lets AQE cut the files near the advisory partition size."""
     named = tables.named()
     if tables.payment_legs is not None:
         named["payment_legs"] = tables.payment_legs
-    outputs = {os.path.join(base_path, f"{name}.parquet"): _spread(df) for name, df in named.items()}
+    outputs = {os.path.join(base_path, f"{name}.parquet"): df.hint("rebalance") for name, df in named.items()}
     write_parquet_concurrently(outputs)
     return list(outputs)
 
@@ -105,7 +88,6 @@ def load_tables(tables: Tables, base_path: str, verify_keys: bool = True) -> Tab
     checked for unique order ids (C15), which the per-order metrics rely on.
     """
     from agora.operators.quality import assert_unique_key
-    from agora.plans.joins import broadcast_if_bounded
 
     write_tables(tables, base_path)
     optional = tuple(n for n in ("geolocation", "payment_legs") if getattr(tables, n) is not None)
@@ -113,7 +95,7 @@ def load_tables(tables: Tables, base_path: str, verify_keys: bool = True) -> Tab
     if verify_keys:
         assert_unique_key(loaded.orders, ["order_id"])
         assert_unique_key(loaded.payments, ["order_id"])
-    return loaded.with_(product_category=broadcast_if_bounded(loaded.product_category))
+    return loaded
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from agora.operators import cleaning
 from agora.session import checkpoint_dir
+from agora.sources.readers import csv_options, header_schema, null_tokens_out, string_columns
 from agora.sources.schema import CSV_TABLES
 
 ROW_CLEANING = {
@@ -29,16 +30,15 @@ ROW_CLEANING = {
 
 
 def csv_stream(spark: SparkSession, table: str, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame over CSV files of one table, declared schema."""
-    reader = (
-        spark.readStream.schema(CSV_TABLES[table])
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-    )
+    """A streaming DataFrame over CSV files of one table: the batch reader's
+    options and missing-value tokens. The header of the first file gives the
+    columns' order; a file with another one is an error."""
+    schema = CSV_TABLES[table]
+    reader = spark.readStream.schema(header_schema(spark, source_dir, schema)).options(**csv_options(table))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(source_dir)
+    df = reader.csv(source_dir).select(*[f.name for f in schema])
+    return null_tokens_out(df, string_columns(schema))
 
 
 def ingest_table(

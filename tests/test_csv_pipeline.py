@@ -92,8 +92,14 @@ def test_command_line_run_writes_every_result(spark, csv_drop):
     out = tempfile.mkdtemp(prefix="agora-run-")
     params = Params(trend_start="1996-01-01", trend_end="1997-02-01", segment="brand_1")
     names = run(spark, csv_drop, out, params, include_geolocation=False)
-    assert len(names) == 29
-    for name in ("seller_risk", "monthly_trend", "category_segment_check", "windowed_retention", "payment_mix"):
+    assert len(names) == 46
+    # Every printed result of the original cleaning steps is there.
+    assert {
+        "csv_corrupt_rows", "order_status_counts", "invalid_delivered", "review_score_counts", "review_mean_by_comment",
+        "review_dist_by_comment", "key_check_orders", "key_check_payments", "flat_row_check", "dashboard_extracts",
+        "preview_orders",
+    } <= set(names)
+    for name in ("seller_risk", "monthly_trend", "category_segment_check", "windowed_retention", "payment_mix", "flat_row_check"):
         written = spark.read.parquet(os.path.join(out, "results", name))
         _same(written, entry.queries()[name](spark, SF_SMALL).select(*written.columns))
     # The profile describes the CSV layout (text ids, all declared columns).

@@ -12,10 +12,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from agora.catalog import QUERIES
 from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, _rows
 
-KEYS = list(entry.queries())
+KEYS = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +30,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(KEYS)
+    assert set(KEYS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

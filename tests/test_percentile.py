@@ -29,7 +29,7 @@ def df_of(spark, values):
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.75, 1.0])
 def test_matches_duckdb_on_ties_and_skew(spark, p):
     values = [float(i % 7) for i in range(3000)] + [1e6, -5.0, 2.5] + [float(i) ** 1.5 for i in range(500)]
-    got = exact_percentile(df_of(spark, values), "v", p, max_bracket_values=50, small_input=0)
+    got = exact_percentile(df_of(spark, values), "v", p)
     want = duckdb.sql(
         f"SELECT percentile_cont({p}) WITHIN GROUP (ORDER BY v) FROM (SELECT unnest(?::DOUBLE[]) AS v)",
         params=[values],
@@ -43,7 +43,7 @@ def test_matches_duckdb_on_ties_and_skew(spark, p):
     st.sampled_from([0.1, 0.5, 0.75, 0.9]),
 )
 def test_property_bracket_path(spark, values, p):
-    got = exact_percentile(df_of(spark, values), "v", p, max_bracket_values=8, small_input=0)
+    got = exact_percentile(df_of(spark, values), "v", p, accuracy=7)
     assert got == reference(values, p)
 
 
@@ -53,16 +53,19 @@ def test_empty_and_invalid(spark):
         exact_percentile(df_of(spark, [1.0]), "v", 1.5)
 
 
-@pytest.mark.parametrize("p", [0.1, 0.5, 0.75])
-def test_narrowing_path_with_many_distinct_values(spark, p, monkeypatch):
-    # A coarse sketch leaves thousands of distinct values in the bracket and
-    # the histogram limit is tiny, so the bucket narrowing must do the work.
-    import agora.functions.percentile as mod
+SHAPES = {
+    "log_uniform": [10.0 ** (k / 37) for k in range(-2000, 2000)],
+    "constant": [3.25] * 2000,
+    "two_values": [1.0] * 1500 + [2.0] * 1500,
+    "outlier": [k / 7 for k in range(2000)] + [1e300, -1e300],
+    "ties_and_gaps": [float(k % 13) for k in range(999)] + [k * 0.001 for k in range(3000)],
+}
 
-    calls = []
-    real = mod._narrow
-    monkeypatch.setattr(mod, "_narrow", lambda *a: calls.append(1) or real(*a))
-    values = [i * 0.001 for i in range(5000)] + [float(i) for i in range(0, 5000, 7)]
-    got = exact_percentile(df_of(spark, values), "v", p, accuracy=100, max_bracket_values=2, small_input=0)
-    assert got == reference(values, p)
-    assert calls
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.75, 1.0])
+def test_a_coarse_sketch_still_finds_the_exact_value(spark, p, shape):
+    # The sketch's error covers many distinct values, so several steps are
+    # needed; the number of steps is not limited.
+    got = exact_percentile(df_of(spark, SHAPES[shape]), "v", p, accuracy=20)
+    assert got == reference(SHAPES[shape], p)

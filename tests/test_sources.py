@@ -153,4 +153,4 @@ def test_streaming_ingest_of_reviews_flags_before_filling(spark, scratch):
     assert got["r1"]["has_comment"] is True
     assert got["r1"]["review_comment_message"].startswith("arrived fine,\n")
     assert got["r2"]["has_comment"] is False
-    assert (got["r2"]["review_comment_message"], got["r2"]["review_comment_title"]) == ("", "NA")
+    assert (got["r2"]["review_comment_message"], got["r2"]["review_comment_title"]) == ("", "")
