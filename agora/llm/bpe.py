@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from agora.llm.common import bounded_slices, map_arrow
+from agora.llm.common import Memo, bounded_slices, map_arrow
 
 #: The byte-level pre-token pattern and Unicode white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -114,8 +114,8 @@ class Transducer:
         self.window = window + self.lookahead + max(map(len, self.merges.bytes_of))
         self.pre_token = regex.compile(PRE_TOKEN)
         self.added = re.compile("|".join(map(re.escape, self.merges.added)) or "(?!)")
-        self.words = _Memo(self._word, remember)
-        self.memo = _Memo(self._chunk, remember)
+        self.words = Memo(self._word, remember)
+        self.memo = Memo(self._chunk, remember)
 
     def merge(self, data: bytes) -> list[int]:
         """All merges of ``data``, lowest rank first, leftmost first."""
@@ -200,28 +200,6 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
-class _Memo(dict):
-    """Chunk -> encoded bytes, in two generations so that memory is bounded
-    and frequent chunks stay."""
-
-    def __init__(self, make, limit: int, longest: int = 64) -> None:
-        super().__init__()
-        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.make(chunk)
-        if len(chunk) <= self.longest:
-            self[chunk] = found
-        return found
-
-    def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     """The encoder of a file, built once in each Python worker."""

@@ -13,6 +13,8 @@ its final name, so a repeated task replaces a file by an equal one.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,7 +26,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agora.llm.common import bounded_slices, map_arrow, materialize, shared_folder
+from agora.llm.common import Memo, bounded_slices, map_arrow, materialize, shared_folder
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -36,12 +38,22 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
 
 
-class WordEncoder:
-    """Encodes with a tokenizers file, remembering words between ASCII white
-    space. The file must drop white space and never join over it (as the
-    word-level BPE does), so that a text's ids are its words' ids in order."""
+#: Words of which letters and signs can be encoded apart: Latin-1 letters
+#: (composed, of one code point in either case), then ASCII signs.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+class WordEncoder:
+    """Encodes with a tokenizers file, remembering the words between ASCII
+    white space and, of plain words, their lower-cased letters and the signs
+    behind them. The file must drop white space, lower-case, and never join
+    letters with signs (as the word-level BPE does), so that a text's ids are
+    its pieces' ids in order. Memory is bounded: each memo has two
+    generations of ``remember`` entries."""
+
+    def __init__(self, path: str, remember: int = 200_000) -> None:
+        # Spark runs a worker on each core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,20 +61,29 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.remember, self.memo = remember, {}
+        self.pieces = Memo(self._library, remember)
+        self.words = Memo(self._word, remember)
+
+    def _library(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = PLAIN.fullmatch(text)
+        if not plain:
+            return self._library(text)
+        letters, signs = plain.groups()
+        found = self.pieces[letters.lower()]
+        return found + self.pieces[signs] if signs else found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``kind``) of each text."""
-        split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > self.remember:
-            new = list({w for words in split for w in words})
-            self.memo = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update(zip(part, [np.array(c.ids, self.kind).tobytes() for c in coded], strict=True))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.words.__getitem__, text.encode().split())))
+            self.words.turn()
+            self.pieces.turn()
+        return out
 
 
 @lru_cache(maxsize=2)
