@@ -92,7 +92,7 @@ def test_command_line_run_writes_every_result(spark, csv_drop):
     out = tempfile.mkdtemp(prefix="agora-run-")
     params = Params(trend_start="1996-01-01", trend_end="1997-02-01", segment="brand_1")
     names = run(spark, csv_drop, out, params, include_geolocation=False)
-    assert len(names) == 46
+    assert len(names) == 47
     # Every printed result of the original cleaning steps is there.
     assert {
         "csv_corrupt_rows", "order_status_counts", "invalid_delivered", "review_score_counts", "review_mean_by_comment",
