@@ -10,7 +10,6 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from agora.functions.metrics import month_label
 from agora.model import Tables
