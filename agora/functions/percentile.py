@@ -25,9 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _order_statistic(vals: DataFrame, rank: int, n: int, accuracy: int) -> tuple[float, int]:
+def _pivots(at: float, accuracy: int) -> Column:
+    """Three values around the fraction ``at``, from a mergeable sketch."""
+    slack = 2.0 / accuracy
+    fractions = [max(at - slack, 0.0), min(at, 1.0), min(at + slack, 1.0)]
+    return F.percentile_approx("v", fractions, accuracy).alias("pivots")
+
+
+def _order_statistic(vals: DataFrame, rank: int, n: int, accuracy: int, pivots: list[float] | None) -> tuple[float, int]:
     """The value of 0-based ``rank`` among the ``n`` rows of ``vals`` (v), and
-    the number of rows up to that value."""
+    the number of rows up to that value; ``pivots``: three values to begin with."""
     v = F.col("v")
     low: float | None = None
     high: float | None = None
@@ -38,9 +45,7 @@ def _order_statistic(vals: DataFrame, rank: int, n: int, accuracy: int) -> tuple
             scope = scope.filter(v > F.lit(low))
         if high is not None:
             scope = scope.filter(v < F.lit(high))
-        at, slack = (rank - below + 0.5) / n, 2.0 / accuracy
-        fractions = [max(at - slack, 0.0), min(at, 1.0), min(at + slack, 1.0)]
-        pivots = scope.agg(F.percentile_approx("v", fractions, accuracy).alias("b")).first()["b"]
+        pivots = pivots or scope.agg(_pivots((rank - below + 0.5) / n, accuracy)).first()["pivots"]
         counts = scope.agg(
             *[F.count_if(v < F.lit(x)).alias(f"lt{k}") for k, x in enumerate(pivots)],
             *[F.count_if(v <= F.lit(x)).alias(f"le{k}") for k, x in enumerate(pivots)],
@@ -54,6 +59,7 @@ def _order_statistic(vals: DataFrame, rank: int, n: int, accuracy: int) -> tuple
                 return x, start + counts[f"le{k}"]
             low, below = x, start + counts[f"le{k}"]
         n = (ends if ends is not None else start + n) - below
+        pivots = None
 
 
 def exact_percentile(df: DataFrame, value: str | Column, p: float, *, accuracy: int = 10_000) -> float | None:
@@ -62,12 +68,13 @@ def exact_percentile(df: DataFrame, value: str | Column, p: float, *, accuracy:
         raise ValueError(f"percentile must lie in [0, 1], got {p}")
     column = F.col(value) if isinstance(value, str) else value
     vals = df.select(column.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = vals.count()
+    first = vals.agg(F.count(F.lit(1)).alias("n"), _pivots(p, accuracy)).first()
+    n = first["n"]
     if not n:
         return None
     pos = p * (n - 1)
     rank = math.floor(pos)
-    lo, up_to = _order_statistic(vals, rank, n, accuracy)
+    lo, up_to = _order_statistic(vals, rank, n, accuracy, first["pivots"])
     if pos == rank or rank + 1 < up_to:
         return float(lo)
     # The next order statistic is the smallest larger value.

@@ -96,19 +96,22 @@ REVIEW_SCORE_CYCLE = [5, 5, 5, 4, 3, 2, 1]
 def reviews_role(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     cycle = F.array(*[F.lit(v) for v in REVIEW_SCORE_CYCLE])
-    first = orders.filter(k % 10 != 0).select(
+    text = F.lit(None).cast("string")
+    first = F.struct(
         k.alias("order_id"),
         F.element_at(cycle, ((k * 17) % 7 + 1).cast("int")).cast("int").alias("review_score"),
         F.when(k % 6 == 0, F.concat(F.lit("title "), (k % 10).cast("string"))).alias("review_comment_title"),
         F.when(k % 3 == 0, F.concat(F.lit("msg "), (k % 40).cast("string"))).alias("review_comment_message"),
     )
-    second = orders.filter(k % 23 == 0).select(
+    second = F.struct(
         k.alias("order_id"),
         (2 + (k * 11) % 4).cast("int").alias("review_score"),
-        F.lit(None).cast("string").alias("review_comment_title"),
-        F.lit(None).cast("string").alias("review_comment_message"),
+        text.alias("review_comment_title"),
+        text.alias("review_comment_message"),
     )
-    return first.unionByName(second)
+    # Both reviews of an order come from one scan.
+    both = F.array_compact(F.array(F.when(k % 10 != 0, first), F.when(k % 23 == 0, second)))
+    return orders.select(F.inline(both))
 
 
 def products_role(part: DataFrame) -> DataFrame:
