@@ -34,7 +34,7 @@ from agora.llm.common import Memo, bounded_slices, map_arrow
 
 #: The byte-level pre-token pattern and Unicode white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: A pre-token never reaches over the start of a chunk, so chunks of this
 #: pattern can be encoded (and remembered) one by one.

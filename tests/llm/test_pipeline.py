@@ -9,7 +9,7 @@ from corpus_pipeline import ORACLE_SQL, STAGES, run
 from tokenizers import Tokenizer
 import public_tokenizers
 
-from agora.llm import secret_scan, simhash, toxicity
+from agora.llm import simhash, toxicity
 from agora.llm.common import materialize, table
 from tests.llm.test_secret_scan import brute as base_secrets
 from tests.llm.test_simhash import brute_components

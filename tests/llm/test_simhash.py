@@ -4,6 +4,7 @@ import random
 import re
 
 import xxhash
+from agora.llm.queries import op4_simhash_near_dedup
 from agora.llm.simhash import fingerprint, fingerprints, links, near_duplicates
 
 
@@ -86,3 +87,16 @@ def test_rows_of_every_kind(spark):
     assert got == sorted(wanted, key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
     assert fingerprints(docs).count() == len(rows)
+
+
+def test_query_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = [brute_fingerprint(r.text) for r in rows]
+    least: dict[int, int] = {}
+    label = brute_components(prints, 3)
+    for r, k in zip(rows, label, strict=True):
+        least[k] = min(r.doc_id, least.get(k, r.doc_id))
+    wanted = {(r.doc_id, f"{x:016x}", least[k]) for r, x, k in zip(rows, prints, label, strict=True)}
+    got = op4_simhash_near_dedup(spark, sf_dir).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == wanted
