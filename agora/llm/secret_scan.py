@@ -132,10 +132,12 @@ def _replaced(text: Column, pattern: str, by: Callable[[Column], Column], least:
     return _parts(text, pattern, lambda p: _rebuilt(p, swap), text, group)
 
 
-def without_base(text: Column, by: Callable[[Column], Column]) -> Column:
-    """The text with all base matches replaced."""
-    text = _replaced(text, ASSIGN, by, 12, 2)
-    return _replaced(_replaced(text, ACCESS, by), HEX, by)
+def without_base(rows: DataFrame, name: str, by: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with all base matches in column ``name`` replaced. One column
+    step per pattern: a text that several expressions use is made once."""
+    rows = rows.withColumn(name, _replaced(F.col(name), ASSIGN, by, 12, 2))
+    rows = rows.withColumn(name, _replaced(F.col(name), ACCESS, by))
+    return rows.withColumn(name, _replaced(F.col(name), HEX, by))
 
 
 def encoding(token: Column) -> Column:
@@ -219,18 +221,18 @@ def candidates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the spans of the three
     base kinds, and the judged candidates. No text is kept."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    masked = without_base(text, lambda m: F.repeat(F.lit(" "), F.length(m)))
 
     def judge(p: Column) -> Column:
         return F.transform(_places(p), lambda x: F.struct(x["start"], x["end"], _judged(x["m"]).alias("judged"))).cast(JUDGED)
 
-    one = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        _spans(text, ASSIGN, 12, 2).alias("assign"),
-        _spans(text, ACCESS).alias("access"),
-        _spans(text, HEX).alias("hex"),
-        masked.alias("masked"),
+    one = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("masked")).select(
+        "doc_id",
+        "masked",
+        _spans(F.col("masked"), ASSIGN, 12, 2).alias("assign"),
+        _spans(F.col("masked"), ACCESS).alias("access"),
+        _spans(F.col("masked"), HEX).alias("hex"),
     )
+    one = without_base(one, "masked", lambda m: F.repeat(F.lit(" "), F.length(m)))
     return one.select("doc_id", "assign", "access", "hex", _parts(F.col("masked"), CANDIDATE, judge, F.array().cast(JUDGED)).alias("candidates"))
 
 
@@ -306,13 +308,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = 0.01) -> DataFr
     n_chars, where there is such a column, counted anew); all rows and
     columns stay; a null text stays null."""
     limit = decide(materialize(candidates(docs), "candidates"), fdr)
-    text = without_base(docs["text"].cast("string"), lambda m: F.lit(mark))
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs["text"].cast("string").alias("text"))
+    rows = without_base(rows, "text", lambda m: F.lit(mark))
 
     def swap(m: Column, _: Column) -> Column:
         bucket = _let(_judged(m), lambda j: _bucket(j, limit.moments))
         secret = F.coalesce(bucket >= limit.bucket, F.lit(False))
         return F.when(secret, F.lit(mark)).otherwise(m)
 
-    text = _parts(text, CANDIDATE, lambda p: _rebuilt(p, swap), text)
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    rows = rows.withColumn("text", _parts(F.col("text"), CANDIDATE, lambda p: _rebuilt(p, swap), F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in names])
