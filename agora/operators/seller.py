@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions.metrics import line_revenue, money, pct, ratio, round_half_up
 from agora.model import Tables
 from agora.operators.category import category_products, order_reviews
+from agora.session import written
 
 HIGH_RISK, AT_RISK, HEALTHY = "High Risk", "At Risk", "Healthy"
 
@@ -102,16 +103,21 @@ def seller_risk(
 
     Items are counted per (seller, product) before anything is joined, so
     the shuffle carries one row per pair and map task: a seller holding a
-    third of all items is spread over its products. The counts then meet one
+    third of all items is spread over its products. The flagged sellers are
+    written as parquet, so the planner knows their size: if they can be
+    broadcast it moves the semi join below the counting and only their items
+    are shuffled, else the counts meet them. The counts then meet one
     product-category relation and are summed per (seller, category)."""
     flagged = (
         seller_metrics(t)
         .withColumn("seller_flag", seller_flag(review_threshold, late_threshold))
         .filter((F.col("order_volume") >= min_orders) & F.col("seller_flag").isin(HIGH_RISK, AT_RISK))
     )
+    flagged = written(flagged, "flagged_sellers")
     counts = (
         t.order_items.groupBy("seller_id", "product_id")
         .agg(F.count(F.lit(1)).alias("n"))
+        .join(flagged.select("seller_id"), "seller_id", "left_semi")
         .join(category_products(t), "product_id")
         .groupBy("seller_id", "category")
         .agg(F.sum("n").alias("items_sold"))
