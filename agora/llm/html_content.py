@@ -306,11 +306,12 @@ def main_text(html: str, model: Model, threshold: float = 0.5) -> str:
 
 def fit(pages: DataFrame, max_pages: int = 2000) -> Model:
     """Potentials from at most ``max_pages`` pages (page_id, html), those
-    with the smallest hash of id and page; without labelled pages only the
+    with the smallest hash of their id; without labelled pages only the
     priors remain."""
-    html = pages["html"].cast("string")
-    sample = pages.select(html.alias("html"), F.xxhash64(pages["page_id"], html).alias("h")).where("html is not null")
-    sample = sample.orderBy("h").limit(max_pages)
+    rows = pages.select(pages["html"].cast("string").alias("html"), F.xxhash64(pages["page_id"]).alias("h")).where("html is not null")
+    # The ids' hashes are ranked alone; pages are read for the chosen ones.
+    chosen = rows.select("h").orderBy("h").limit(max_pages)
+    sample = rows.join(F.broadcast(chosen), "h", "left_semi").orderBy("h", F.xxhash64("html")).limit(max_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
