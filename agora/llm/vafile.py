@@ -73,7 +73,9 @@ def distinct_vectors(vectors: DataFrame, is_query: Column, plan: Search) -> Data
 def cell_limits(distinct: DataFrame, plan: Search) -> np.ndarray:
     """Inner cell limits of each dimension, (dimensions, cells - 1): quantiles
     of at most ``sample`` vectors, those with the smallest hash."""
-    rows = distinct.orderBy(F.xxhash64("vid"), "vid").limit(plan.sample).select("v").collect()
+    # Ids are ranked alone; vectors are read for the chosen ones.
+    chosen = distinct.select("vid").orderBy(F.xxhash64("vid"), "vid").limit(plan.sample)
+    rows = distinct.select("vid", "v").join(F.broadcast(chosen), "vid", "left_semi").orderBy("vid").collect()
     width = distinct.agg(F.max(F.size("v"))).first()[0] or 0
     sample = np.zeros((max(1, len(rows)), width))
     for k, r in enumerate(rows):
