@@ -107,7 +107,7 @@ class Transducer:
     beyond the lookahead; ``remember``: chunks kept in each of two
     generations of the memo."""
 
-    def __init__(self, path: str, window: int = 2048, remember: int = 200_000) -> None:
+    def __init__(self, path: str, window: int = 2048, remember: int = 100_000) -> None:
         self.merges = MergeList(path)
         self.lookahead = sufficient_lookahead(self.merges)
         self.none = len(self.merges.merges) * self.merges.size + self.merges.size

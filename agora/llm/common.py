@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from pathlib import Path
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from agora.session import checkpoint_dir
+from agora.session import checkpoint_dir, written
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,16 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/written/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a relation to the shared folder and read it back: cuts the
-    lineage, survives lost executors and gives the planner real sizes."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a relation to the shared folder and reads it back.
+materialize = written
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -44,7 +40,14 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([*paths, root])
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        # Workers serve later tasks too: give back what this one held.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def bounded_slices(

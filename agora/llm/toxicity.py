@@ -137,7 +137,7 @@ def _counted(sample: DataFrame, of, columns: str = "term string, pos long, neg l
     """Documents of either label that have each term of ``of(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in bounded_slices(batches, "text", 16 << 20):
+        for part in bounded_slices(batches, "text"):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                 counts[toxic == 1].update(of(text or ""))
@@ -174,13 +174,14 @@ def choose(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str
     return lexicon
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the bias is not shrunk."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each row counted ``times``
+    times; the bias is not shrunk."""
     a = np.column_stack([np.ones(len(x)), x])
     beta, shrink = np.zeros(a.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (y - p) - shrink @ beta)
+        step = np.linalg.solve(a.T @ (a * (times * p * (1 - p))[:, None]) + shrink, a.T @ (times * (y - p)) - shrink @ beta)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -247,8 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, shortest: in
                 [pa.array([f[0] for f in x], pa.float64()), pa.array([f[1] for f in x], pa.float64()), part.column("toxic").cast(pa.float64())], names=["a", "b", "y"]
             )
 
-    seen = np.array(map_arrow(sample, features, "a double, b double, y double").orderBy("a", "b", "y").collect())
-    beta = _logistic(seen[:, :2], seen[:, 2])
+    # Texts without a match share one row of features: counted, not sorted.
+    seen = map_arrow(sample, features, "a double, b double, y double").groupBy("a", "b", "y").count().collect()
+    seen = np.array(sorted(map(tuple, seen)), float)
+    beta = _logistic(seen[:, :2], seen[:, 2], seen[:, 3])
     return Model(second.lexicon, second.exceptions, tuple(float(x) for x in beta))
 
 
