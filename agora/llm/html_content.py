@@ -38,9 +38,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "head title script style noscript template svg math canvas iframe object audio video map select option textarea "
-    "button datalist".split()
+    "head title script style noscript template svg canvas iframe object audio video map select option textarea "
+    "button datalist annotation annotation-xml".split()
 )
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
+FOREIGN = ("svg", "math")
 REGIONS = frozenset(["article", "main"])
 BOILERPLATE = frozenset(["nav", "footer", "aside", "form", "header", "menu", "dialog"])
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
@@ -125,6 +127,8 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._close_until({"p"}, {"table", "td", "th", "button", "article", "section", "div"} - {tag} if tag != "p" else {"table", "td", "th", "button"})
+        if self.stack[-1][0] == "head" and tag not in HEAD:
+            self._pop()
         if tag == "body":
             self._close_until({"head"}, set())
         if tag in CLOSES:
@@ -145,7 +149,11 @@ class Page(HTMLParser):
             self._push(tag, self.stack[-1][1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """HTML ignores the slash of a self-closed tag, except for svg and
+        math elements and what is in them."""
         self.handle_starttag(tag, attrs)
+        if (tag in FOREIGN or any(self.open[t] for t in FOREIGN)) and self.stack[-1][0] == tag:
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if self.open[tag]:
@@ -153,6 +161,8 @@ class Page(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self._pop()
         if self.hidden:
             return
         number = self.stack[-1][1]

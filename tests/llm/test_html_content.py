@@ -77,3 +77,16 @@ def test_rows_of_every_kind(spark):
     assert [r.n_chars for r in got if r.page_id == 6] == [26 * 20_000 + 2 * 19_999]
     assert extract(docs.limit(0), model).count() == 0
     assert fit(docs.where(F.col("page_id") == 2)) == Model() == fit(docs.limit(0))
+
+
+def test_text_after_an_open_head_and_foreign_elements(spark):
+    model = fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    text = lambda page: main_text(page, model).split("\n\n")
+    more = "Some more words of the text, which goes on for a while."
+    assert text(f"<html><head><title>x</title><h1>T</h1><p>{more}") == ["T", more]
+    assert text(f"<html><head><meta charset=utf-8><style>p</style><noscript>n</noscript><article>{more}<p>{more}</article>") == [more, more]
+    assert text(f"<head><title>x</title>{more}<article><p>{more}</article>")[-1] == more
+    assert text(f"<article><h1>T</h1><p>{more} <svg width='1'/> rest</p><svg/><p>{more}</p></article>") == ["T", f"{more} rest", more]
+    assert text(f"<article><p>{more} <svg><title>t</title><path d=''/>in</svg> rest</p></article>") == [f"{more} rest"]
+    formula = "<math><semantics><mrow><mi>x</mi><mspace/><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert text(f"<article><p>{more} {formula} rest<math/> end</p></article>") == [f"{more} x=1 rest end"]
