@@ -13,6 +13,10 @@ inside and not under a boilerplate element is content. In every second
 labelled page those elements are counted as plain ones, so that the model
 also learns to find the text of pages without them. Training uses a bounded
 sample of pages; extraction is one pass without a shuffle.
+
+Forms and elements whose class, id or role names something beside the article
+are suspects: a strong prior, which labels can correct, says that they are
+not content. What is in them reads much like an article and goes with them.
 """
 
 from __future__ import annotations
@@ -44,7 +48,9 @@ UNSEEN = frozenset(
 HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 FOREIGN = ("svg", "math")
 REGIONS = frozenset(["article", "main"])
-BOILERPLATE = frozenset(["nav", "footer", "aside", "form", "header", "menu", "dialog"])
+BOILERPLATE = frozenset(["nav", "footer", "aside", "header", "menu", "dialog"])
+SUSPECTS = ("form", "named")
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 NAMES = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent "
@@ -53,6 +59,10 @@ NAMES = frozenset(
     "sharing social related recommended recommendations newsletter subscribe subscription signup login search "
     "widget widgets toolbar pagination pager copyright legal contentinfo complementary".split()
 )
+#: Of these, words that are also ids of an article's own sections.
+SECTIONS = frozenset(
+    "related legal search social notice notices side discussion alert copyright promotion rail share sharing".split()
+)
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -65,16 +75,22 @@ TOKEN = re.compile(r"[a-z]+")
 
 @dataclass
 class Node:
-    """A block element: its parent's number, kind and text sizes."""
+    """A block element: its parent's number, the words that mark it, text
+    sizes, and whether it holds a region and the page's title."""
 
     tag: str
     parent: int
-    marked: bool
+    unseen: bool = False
+    names: frozenset[str] = frozenset()
+    ids: frozenset[str] = frozenset()
+    suspect: str | None = None
     own: int = 0
     total: int = 0
     linked: int = 0
     in_region: bool = False
     titled: bool = False
+    heads: bool = False
+    holds: bool = False
 
 
 class Page(HTMLParser):
@@ -83,7 +99,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#root", -1, False)]
+        self.nodes = [Node("#root", -1)]
         self.runs: list[tuple[int, list[str]]] = []
         self.stack: list[tuple[str, int]] = [("#root", 0)]
         self.open: Counter = Counter()
@@ -95,6 +111,37 @@ class Page(HTMLParser):
             up.total += node.total
             up.linked += node.linked
             up.titled |= node.titled or node.tag == "h1"
+        self._find_suspects()
+
+    def _find_suspects(self) -> None:
+        first = next((k for k, x in enumerate(self.nodes) if x.tag in HEADINGS and x.total), 0)
+        while first:
+            self.nodes[first].heads = True
+            first = self.nodes[first].parent
+        most = lambda x: 2 * x.total > self.nodes[0].total
+        clear = any(x.tag in REGIONS and not (x.names | x.ids) for x in self.nodes)
+        for node in reversed(self.nodes[1:]):
+            node.holds |= node.tag in REGIONS and (not (node.names | node.ids) or (not clear and most(node)))
+            self.nodes[node.parent].holds |= node.holds
+        root = self.nodes[0]
+        headless = not any(x.heads for x in self.nodes)
+        for node in self.nodes[1:]:
+            if node.holds or node.tag in HEADINGS:
+                continue
+            up = self.nodes[node.parent]
+            if node.tag in REGIONS and not up.in_region:
+                continue
+            # What holds most of the text and its first heading is the layout,
+            # unless the page says elsewhere what its article is.
+            if most(node) and (node.heads or headless) and not root.holds and (node.titled or not root.titled):
+                continue
+            names = node.names | node.ids
+            if up.in_region and 2 * node.linked < node.total:
+                names = node.names | (node.ids - SECTIONS)
+            if node.tag == "form":
+                node.suspect = "form"
+            elif names and not node.titled:
+                node.suspect = "named"
 
     def _push(self, tag: str, number: int) -> None:
         self.stack.append((tag, number))
@@ -135,11 +182,13 @@ class Page(HTMLParser):
             self._close_until(*CLOSES[tag])
         if tag in BLOCKS:
             self.fresh = True
-            names = {t for k, v in attrs if k in ("class", "id", "role") and v for t in TOKEN.findall(v.lower())}
-            marked = bool(names & NAMES) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+            names, ids = (
+                NAMES.intersection(t for k, v in attrs if k in which and v for t in TOKEN.findall(v.lower())) for which in (("class", "role"), ("id",))
+            )
+            unseen = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
             if tag not in VOID:
                 parent = self.stack[-1][1]
-                node = Node(tag, parent, marked)
+                node = Node(tag, parent, unseen, names, ids)
                 node.in_region = tag in REGIONS or self.nodes[parent].in_region
                 self.nodes.append(node)
                 self._push(tag, len(self.nodes) - 1)
@@ -179,23 +228,25 @@ class Page(HTMLParser):
 
 
 def kind(node: Node, plain_regions: bool = False) -> str:
-    """What an element is for, as the parent-child potentials see it. A name
-    alone doesn't make boilerplate of what holds the page's title."""
+    """What an element is for, as the parent-child potentials see it."""
     if node.tag in ("#root", "html", "body"):
         return "root"
-    if (node.marked and not node.titled) or (node.tag in BOILERPLATE and not (node.tag == "header" and node.in_region)):
+    if node.unseen or (node.tag in BOILERPLATE and not (node.tag == "header" and node.in_region)):
         return "boilerplate"
+    if node.suspect:
+        return node.suspect
     if node.tag in REGIONS:
         return "block" if plain_regions else "region"
     return "text" if node.tag in TEXTS else "block"
 
 
 def kinds(page: Page, plain_regions: bool = False) -> list[str]:
-    """The kind of each element; what boilerplate holds is boilerplate."""
+    """The kind of each element; what boilerplate holds is boilerplate, and
+    all else that a suspect holds is of the suspect's kind."""
     out: list[str] = []
     for node in page.nodes:
-        inside = node.parent >= 0 and out[node.parent] == "boilerplate"
-        out.append("boilerplate" if inside else kind(node, plain_regions))
+        own, above = kind(node, plain_regions), out[node.parent] if node.parent >= 0 else "root"
+        out.append(above if above == "boilerplate" or (above in SUSPECTS and own != "boilerplate") else own)
     return out
 
 
@@ -205,6 +256,8 @@ def _bucket(size: int) -> int:
 
 def features(node: Node, plain_regions: bool = False) -> tuple[str, ...]:
     """Categorical features of an element (its kind is the edge's matter)."""
+    if node.suspect:
+        return ("any", *(f"name:{t}" for t in sorted(node.names | node.ids)), *(["name:form"] if node.tag == "form" else []))
     share = 4 * node.linked // max(1, node.total)
     tag = "div" if plain_regions and node.tag in REGIONS else node.tag
     return ("any", f"tag:{tag}", f"links:{share}:{_bucket(node.total)}", f"own:{_bucket(node.own)}")
@@ -212,15 +265,21 @@ def features(node: Node, plain_regions: bool = False) -> tuple[str, ...]:
 
 def labels(page: Page) -> list[int] | None:
     """Labels of a page that marks its article, else None: 1 inside an
-    article or main element, unless under a boilerplate element."""
-    out, found = [0], False
-    for node, what in zip(page.nodes[1:], kinds(page)[1:], strict=True):
+    article or main element, unless under a boilerplate element or under a
+    suspect that holds no more than half of that element's text."""
+    of = kinds(page)
+    out, region, found = [0], [0], False
+    for node, what in zip(page.nodes[1:], of[1:], strict=True):
         found |= what == "region"
-        out.append(int(what == "region" or (out[node.parent] == 1 and what != "boilerplate")))
+        region.append(len(out) if what == "region" else region[node.parent])
+        inside = out[node.parent] == 1 and what != "boilerplate"
+        if what in SUSPECTS and of[node.parent] != what:
+            inside = inside and 2 * node.total > page.nodes[region[-1]].total
+        out.append(int(what == "region" or inside))
     return out if found else None
 
 
-KINDS = ("boilerplate", "region", "text", "block", "root")
+KINDS = ("boilerplate", "form", "named", "region", "text", "block", "root")
 
 #: Weight of a label that is ruled out: no number of children outvotes it.
 NEVER = 1e-200
@@ -231,15 +290,16 @@ class Model:
     """Counts over labelled elements: ``unary[(feature, label)]`` and
     ``edge[(parent's kind, child's kind, parent's label, child's label)]``.
     ``smooth`` is added to each count. Boilerplate elements and what is in
-    them are never content; elsewhere a region is likely to be. The unary
-    log-odds of an element, whose features say much the same, are held
-    within ``most``."""
+    them are never content; elsewhere a region is likely to be, and a suspect
+    is not, unless labels outweigh ``strong`` counts. The unary log-odds of an
+    element, whose features say much the same, are held within ``most``."""
 
     unary: dict[tuple[str, int], int] = field(default_factory=dict)
     edge: dict[tuple[str, str, int, int], int] = field(default_factory=dict)
     smooth: float = 1.0
     prior: float = 50.0
     most: float = 2.0
+    strong: float = 2000.0
 
     def __post_init__(self) -> None:
         n = [self.unary.get(("any", y), 0) + 20 * self.smooth for y in (0, 1)]
@@ -255,6 +315,15 @@ class Model:
                     if "boilerplate" in (above, what):
                         edges[above, what, up] = (1.0, NEVER)
                         continue
+                    if above in SUSPECTS:
+                        # What is in a suspect goes with it.
+                        p = 1 / self.strong
+                        edges[above, what, up] = (p, 1 - p) if up else (1 - p, p)
+                        continue
+                    if what in SUSPECTS:
+                        a, b = (self.edge.get((above, what, up, y), 0) + self.smooth for y in (0, 1))
+                        edges[above, what, up] = ((a + self.strong) / (a + b + self.strong), b / (a + b + self.strong))
+                        continue
                     extra = self.prior if what == "region" or up else 0.0
                     a, b = (self.edge.get((above, what, up, y), 0) + self.smooth for y in (0, 1))
                     edges[above, what, up] = (a / (a + b + extra), (b + extra) / (a + b + extra))
@@ -262,9 +331,11 @@ class Model:
         object.__setattr__(self, "edges", edges)
 
     def unaries(self, page: Page) -> list[tuple[float, float]]:
-        out = []
-        for node in page.nodes:
-            x = sum(self.odds.get(f, 0.0) for f in features(node)[1:])
+        out, of = [], kinds(page)
+        for node, what in zip(page.nodes, of, strict=True):
+            # Only a suspect's name has a say, not the texts that it holds.
+            inner = what in SUSPECTS and of[node.parent] == what
+            x = 0.0 if inner else sum(self.odds.get(f, 0.0) for f in features(node)[1:])
             p = 1 / (1 + math.exp(-max(-self.most, min(self.most, x))))
             out.append((1 - p, p))
         return out
@@ -331,8 +402,9 @@ def fit(pages: DataFrame, max_pages: int = 2000) -> Model:
                 plain, known = turn % 2 == 1, labels(page) or []
                 of = kinds(page, plain)
                 for node, what, y in zip(page.nodes, of, known, strict=False):
-                    # Boilerplate is ruled out, not decided by features.
-                    if what == "boilerplate":
+                    # Boilerplate is ruled out, not decided by features, and
+                    # what is in a suspect goes with it.
+                    if what == "boilerplate" or (what in SUSPECTS and of[node.parent] == what):
                         continue
                     counts.update((f, -1, y) for f in features(node, plain))
                     if node.parent >= 0:

@@ -90,3 +90,32 @@ def test_text_after_an_open_head_and_foreign_elements(spark):
     assert text(f"<article><p>{more} <svg><title>t</title><path d=''/>in</svg> rest</p></article>") == [f"{more} rest"]
     formula = "<math><semantics><mrow><mi>x</mi><mspace/><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
     assert text(f"<article><p>{more} {formula} rest<math/> end</p></article>") == [f"{more} x=1 rest end"]
+
+
+def test_names_and_forms_that_are_not_boilerplate(spark):
+    model = fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    text = lambda page, model=model: main_text(page, model).split("\n\n")
+    a, b = "Some words of the text, which goes on for a while and more.", "Other words of it, which say what there is to say about this."
+    article = f"<article><h1>T</h1><p>{a}</p><p>{b}</p></article>"
+    assert text(f"<body><form id=aspnetForm>{article}</form></body>") == ["T", a, b]
+    assert text(f"<body><form><div><h2>T</h2><p>{a}</p><p>{b}</p></div></form></body>") == ["T", a, b]
+    assert text(f"<article class='post category-social'><h2>T</h2><p>{a}</p><p>{b}</p></article>") == ["T", a, b]
+    assert text(f"<div class='layout with-sidebar'><h2>T</h2><p>{a}</p><p>{b}</p><div class=sidebar><p>{a}</p></div></div>") == ["T", a, b]
+    assert text(f"<article><h1>T</h1><p>{a}</p><h2 id='search-methods'>S</h2><p>{b}</p></article>") == ["T", a, "S", b]
+    for name in ("related-work", "legal", "discussion"):
+        assert text(f"<article><h1>T</h1><p>{a}</p><section id='{name}'><h2>S</h2><p>{b}</p></section></article>") == ["T", a, "S", b]
+    # Still no content: forms and names beside the article's text.
+    many = f"<p>{a}</p>" * 30
+    for junk in (f"<form>{many}</form>", f"<div class='comments'>{many}</div>", f"<div id='comments'><article class='comment-body'>{many}</article></div>", f"<div id='related'><a href=x>{a}</a></div>"):
+        assert text(f"<article><h1>T</h1><p>{a}</p>{junk}<p>{b}</p></article>") == ["T", a, b]
+        assert text(f"{article}{junk}") == ["T", a, b]
+
+
+def test_labels_correct_names(spark):
+    a = "Some words of the text, which goes on for a while and more. " * 3
+    page = "<article><p>Lead</p><div class='{}'><p>" + a + "</p></div></article>"
+    assert labels(Page(page.format("story-banner")))[2:] == [1, 1, 1]
+    assert main_text(page.format("story-banner"), Model()) == "Lead"
+    # Half of the chosen pages are read without their article element.
+    rows = spark.range(6000).selectExpr("id page_id", "'" + page.format("story-banner").replace("'", '"') + "' html")
+    assert main_text(page.format("story-banner"), fit(rows, 6000)).split("\n\n") == ["Lead", a.strip()]
