@@ -1,16 +1,19 @@
 """Licence scan: TF-IDF cosine to templates, inherited down directories.
 
-Every line of a file is compared with licence templates as sparse TF-IDF
-vectors; the best line decides the file's own licence. A file without one
+A file's lines, and its windows of as many consecutive words as a template
+has, across lines, are compared with licence templates as sparse TF-IDF
+vectors; the best one decides the file's own licence. A file without one
 takes that of the nearest ancestor directory that holds a licence file.
+Templates are notices, passages that identify licence texts and headers, and
+titles; a title must be a line.
 
 Template words are few, so their weights are literals of the plan. The
 document frequencies come from the whole corpus; words that no template has
-weigh as much as a word seen nowhere. Only lines with one of the templates'
-heavy words are compared: without any of them, even a line that agrees in
-all other words stays below the threshold. Inheritance joins each directory
-once with all its ancestors; files then join their directory. All steps are
-DataFrame operations.
+weigh as much as a word seen nowhere. Only lines and windows with one of a
+template's heavy words, and with enough of its weight to reach the threshold,
+are compared: without, even one that agrees in all other words stays below
+it. Inheritance joins each directory once with all its ancestors; files then
+join their directory. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -38,6 +41,41 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Passages of licence texts and headers that tell the licence.
+PASSAGES = (
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+    ("BSD-3-Clause", "contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+#: What a line of its own says at the top of a licence text.
+TITLES = (
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("ISC", "ISC License"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)"
 TERM = r"[a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,9 +87,13 @@ class Templates:
 
     texts: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
     least: float = 0.8
+    passages: tuple[tuple[str, str], ...] = PASSAGES
+    titles: tuple[tuple[str, str], ...] = TITLES
 
-    def counts(self) -> dict[str, Counter]:
-        return {k: Counter(re.findall(TERM, t.lower())) for k, t in self.texts.items()}
+    def counts(self) -> dict[tuple[str, str, bool], Counter]:
+        """Words of each template: (licence, text, whether it must be a line)."""
+        every = [*((*t, False) for t in (*self.texts.items(), *self.passages)), *((*t, True) for t in self.titles)]
+        return {t: Counter(re.findall(TERM, t[1].lower())) for t in every}
 
     def vocabulary(self) -> list[str]:
         return sorted({t for c in self.counts().values() for t in c})
@@ -74,70 +116,102 @@ def term_weights(texts: DataFrame, templates: Templates) -> tuple[dict[str, floa
     return {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in templates.vocabulary()}, math.log(n + 1) + 1
 
 
+def _heavy(counts: Counter, weight: dict[str, float], least: float) -> list[str]:
+    parts = sorted(((c * weight[t], t) for t, c in counts.items()), reverse=True)
+    out, whole, rest = [], math.sqrt(sum(x * x for x, _ in parts)), sum(x * x for x, _ in parts)
+    for x, t in parts:
+        if math.sqrt(max(0.0, rest)) < least * whole * (1 - 1e-9):
+            break
+        out.append(t)
+        rest -= x * x
+    return out
+
+
 def heavy_terms(templates: Templates, weight: dict[str, float]) -> list[str]:
     """Words of which a line must have one to reach the threshold for a
     template: its heaviest, until the others' share of its length is less."""
-    out = set()
-    for counts in templates.counts().values():
-        parts = sorted(((c * weight[t], t) for t, c in counts.items()), reverse=True)
-        whole, rest = math.sqrt(sum(x * x for x, _ in parts)), sum(x * x for x, _ in parts)
-        for x, t in parts:
-            if math.sqrt(max(0.0, rest)) < templates.least * whole * (1 - 1e-9):
-                break
-            out.add(t)
-            rest -= x * x
-    return sorted(out)
-
-
-def _best(line: Column, templates: Templates, weight: dict[str, float], unknown: float) -> Column:
-    """(score, license) of the best template for a line's words."""
-    idf = F.create_map(*[F.lit(x) for t, w in weight.items() for x in (t, w)])
-    known = F.array(*map(F.lit, weight))
-
-    def scored(s: Column) -> Column:
-        words, own = s["words"], s["own"]
-        part = lambda t: F.element_at(idf, t["t"]) * t["n"]
-        squares = F.aggregate(own, F.lit(0.0), lambda a, t: a + part(t) * part(t))
-        others = F.size(words) - F.aggregate(own, F.lit(0), lambda a, t: a + t["n"])
-
-        def product(own: Column, share: Column) -> Column:
-            return F.aggregate(own, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(share, t["t"]), F.lit(0.0)) * part(t))
-
-        norm = F.sqrt(squares + others * F.lit(unknown * unknown))
-        options = []
-        for name, counts in templates.counts().items():
-            size = math.sqrt(sum((c * weight[t]) ** 2 for t, c in counts.items()))
-            share = F.create_map(*[F.lit(x) for t, c in counts.items() for x in (t, c * weight[t] / size)])
-            dot = product(own, share)
-            options.append(F.struct(F.round(-dot / norm, 6).alias("minus"), F.lit(name).alias("license")))
-        return F.array_min(F.array(*options))
-
-    def counted(words: Column) -> Column:
-        own = F.transform(
-            F.array_intersect(words, known), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda w: w == t)).alias("n"))
+    return sorted({t for counts in templates.counts().values() for t in _heavy(counts, weight, templates.least)})
+
+
+def _vectors(templates: Templates, weight: dict[str, float]) -> Column:
+    """The templates as one literal: license, must it be a line, number of
+    words, heavy words, and the unit vector by word."""
+    out = []
+    for k, ((name, _, line), counts) in enumerate(templates.counts().items()):
+        size = math.sqrt(sum((c * weight[t]) ** 2 for t, c in counts.items()))
+        out.append(
+            F.struct(
+                F.lit(k).alias("k"),
+                F.lit(name).alias("license"),
+                F.lit(line).alias("line"),
+                F.lit(sum(counts.values())).alias("length"),
+                F.array(*map(F.lit, _heavy(counts, weight, templates.least))).alias("heavy"),
+                F.create_map(*[F.lit(x) for t, c in counts.items() for x in (t, c * weight[t] / size)]).alias("share"),
+            )
         )
-        return F.transform(F.array(F.struct(words.alias("words"), own.alias("own"))), scored)[0]
-
-    return counted(line)
+    return F.array(*out)
 
 
-def own_licence(text: Column, templates: Templates, weight: dict[str, float], unknown: float) -> Column:
-    """(minus the score, license) of a text's best line, null below the threshold."""
-    heavy = heavy_terms(templates, weight)
-    if not heavy:
-        return F.lit(None).cast("struct<minus:double,license:string>")
-    needed = F.array(*map(F.lit, heavy))
-    lines = F.filter(F.transform(F.split(text, "\n"), terms), lambda w: F.arrays_overlap(w, needed))
-    best = F.array_min(F.transform(lines, lambda w: _best(w, templates, weight, unknown)))
+def _units(texts: DataFrame, templates: Templates, weight: dict[str, float]) -> DataFrame:
+    """Lines and windows of ``texts`` (key, text) that may reach the threshold
+    for a template, by their words: key, k, license and words."""
+    heavy, vectors = heavy_terms(templates, weight), _vectors(templates, weight)
+    longest = max(sum(c.values()) for c in templates.counts().values())
     pattern = rf"(?i)(?<![a-z0-9])({'|'.join(heavy)})(?![a-z0-9])"
-    found = F.when(text.rlike(pattern), F.transform(F.array(best), lambda b: F.when(b["minus"] <= -templates.least, b))[0])
-    return found
+    needed = F.array(*map(F.lit, heavy))
+
+    def fits(words: Column, share: Column) -> Column:
+        """Whether the template's words in ``words`` have enough of its length."""
+        own = F.aggregate(F.array_intersect(words, F.map_keys(share)), F.lit(0.0), lambda a, t: a + F.element_at(share, t) * F.element_at(share, t))
+        return F.sqrt(own) >= templates.least * (1 - 1e-9)
+
+    texts = texts.where(F.col("text").rlike(pattern))
+    lines = texts.select("key", F.explode(F.filter(F.transform(F.split("text", "\n"), terms), lambda w: F.arrays_overlap(w, needed))).alias("words"))
+    lines = lines.select("key", "words", F.explode(F.filter(vectors, lambda t: fits(F.col("words"), t["share"]))).alias("t"))
+    words = F.col("words")
+    near = F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(heavy)),
+        lambda i: F.struct(
+            F.element_at(words, i).alias("word"),
+            F.least(i, F.lit(longest)).alias("at"),
+            F.slice(words, F.greatest(F.lit(1), i - longest + 1), F.least(i, F.lit(longest)) + longest - 1).alias("words"),
+        ),
+    )
+    near = texts.select("key", terms(F.col("text")).alias("words")).select("key", F.explode(near).alias("near")).select("key", "near.*")
+    near = near.select(
+        "key", "at", "words",
+        F.explode(F.filter(vectors, lambda t: ~t["line"] & F.array_contains(t["heavy"], F.col("word")) & fits(F.col("words"), t["share"]))).alias("t"),
+    )
+    starts = F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("t.length") + 1), F.col("at"))
+    windows = near.select("key", "t", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("t.length")))).alias("words"))
+    windows = windows.where(fits(F.col("words"), F.col("t.share")))
+    return lines.select("key", "t.k", "t.license", "words").union(windows.select("key", "t.k", "t.license", "words")).distinct()
+
+
+def own_licences(texts: DataFrame, templates: Templates, weight: dict[str, float], unknown: float) -> DataFrame:
+    """key and best (minus the score, license) of each of ``texts`` (key, text)
+    that reaches the threshold; equal keys are equal texts."""
+    units = _units(texts, templates, weight).withColumn("unit", F.sha2(F.concat_ws(" ", "words"), 256))
+    units = materialize(units, "units")
+    counts = units.select("unit", "words").distinct().select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(F.count("*").alias("n"))
+    known = F.create_map(*[F.lit(x) for t, w in weight.items() for x in (t, w)])
+    shares = F.transform(_vectors(templates, weight), lambda t: t["share"])
+    w, n = F.col("w"), F.col("n")
+    parts = counts.withColumn("w", F.try_element_at(known, F.col("word")))
+    parts = units.select("unit", "k").distinct().join(parts, "unit")
+    scores = parts.groupBy("unit", "k").agg(
+        F.sum(n * w * F.try_element_at(F.element_at(shares, F.col("k") + 1), F.col("word"))).alias("dot"),
+        F.sqrt(F.sum(F.when(w.isNull(), n * unknown * unknown).otherwise(n * w * n * w))).alias("size"),
+    )
+    scores = scores.select("unit", "k", F.round(-F.col("dot") / F.col("size"), 6).alias("minus")).where(F.col("minus") <= -templates.least)
+    best = units.drop("words").join(materialize(scores, "scores"), ["unit", "k"])
+    return best.groupBy("key").agg(F.min(F.struct("minus", "license")).alias("best"))
 
 
 def scan(files: DataFrame, templates: Templates = Templates()) -> DataFrame:
     """Licence of each row of ``files`` (doc_id, path, text): doc_id, path,
-    own_license and own_score (the best line's template and cosine, if it
-    reaches the threshold), license (its own or the inherited one) and
+    own_license and own_score (the best line's or window's template and cosine,
+    if it reaches the threshold), license (its own or the inherited one) and
     license_dir (the directory it is inherited from, null if its own).
 
     The licence of a directory is that of its licence files' best match (ties
@@ -150,8 +224,12 @@ def scan(files: DataFrame, templates: Templates = Templates()) -> DataFrame:
     )
     weight, unknown = term_weights(slim.select("text"), templates)
     parts = F.split("path", "/")
+    slim = slim.withColumn("key", F.sha2("text", 256))
+    # Written first, so that a text with very many copies is split by the
+    # skew join of two plain scans; only candidates look for their match.
+    best = materialize(own_licences(slim.select("key", "text"), templates, weight, unknown), "best")
     own = materialize(
-        slim.select("doc_id", "path", own_licence(F.col("text"), templates, weight, unknown).alias("best")).select(
+        slim.select("doc_id", "path", F.coalesce("key", F.concat(F.lit("none"), F.rand())).alias("key")).join(best, "key", "left").select(
             "doc_id",
             "path",
             F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"),

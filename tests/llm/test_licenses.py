@@ -83,3 +83,41 @@ def test_lines_without_a_heavy_word_stay_below_the_threshold(spark):
 def test_tree_of_documents(spark):
     docs = spark.createDataFrame([(1000, "a", "en", "x"), (1100, "a", "en", "x"), (1110, "a", None, "x"), (1111, "a", "en", "x"), (None, None, "en", "x")], "doc_id long, source string, lang string, text string")
     assert [r.path for r in as_files(docs).orderBy("doc_id").collect()] == ["none/en/none/doc.none", "a/LICENSE.1000", "a/en/LICENSE.1100", "a/none/11/LICENSE.1110", "a/en/11/doc.1111"]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish"""
+BSD = """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED"""
+THIRD = """Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+
+
+def test_notices_over_lines_within_lines_and_licence_texts(spark):
+    wanted = [
+        ("GPL-3.0", "# This work is licensed under the GNU\n# General Public License, version 3.\ncode()"),
+        ("GPL-3.0", "        GNU GENERAL PUBLIC LICENSE\n           Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation"),
+        ("MIT", MIT),
+        ("MIT", MIT.split("\n", 3)[3]),
+        ("MIT", "MIT License"),
+        ("MIT", "After many words about other things. Released under the MIT License. And then there are more words."),
+        ("BSD-2-Clause", BSD.format("")),
+        ("BSD-3-Clause", BSD.format(THIRD)),
+        ("BSD-3-Clause", "// Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+        ("Apache-2.0", "/* Licensed under the Apache\n * License, Version 2.0 (the License);\n */"),
+        (None, "They met in a bar, mit freunden, and apache version of the work was released."),
+    ]
+    filler = [(1000 + k, f"x/{k}", "the words of a text in this work, which is licensed by no one or for a version of it") for k in range(300)]
+    files = spark.createDataFrame([*((k, f"d{k}/f", t) for k, (_, t) in enumerate(wanted)), *filler], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in scan(files).collect()}
+    assert [got[k] for k in range(len(wanted))] == [w for w, _ in wanted]
+    assert {got[f[0]] for f in filler} == {None}
