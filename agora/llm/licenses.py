@@ -8,8 +8,8 @@ Templates are notices, passages that identify licence texts and headers, and
 titles; a title must be a line.
 
 Template words are few, so their weights are literals of the plan. The
-document frequencies come from the whole corpus; words that no template has
-weigh as much as a word seen nowhere. Only lines and windows with one of a
+document frequencies come from the whole corpus; those of other words are
+counted for the words of the lines and windows that are compared. Only lines and windows with one of a
 template's heavy words, and with enough of its weight to reach the threshold,
 are compared: without, even one that agrees in all other words stays below
 it. Inheritance joins each directory once with all its ancestors; files then
@@ -194,14 +194,23 @@ def own_licences(texts: DataFrame, templates: Templates, weight: dict[str, float
     units = _units(texts, templates, weight).withColumn("unit", F.sha2(F.concat_ws(" ", "words"), 256))
     units = materialize(units, "units")
     counts = units.select("unit", "words").distinct().select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "counts")
+    # All words are counted before they meet the few that are asked for, so
+    # that a frequent word costs a row per map task.
+    seen = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    asked = counts.select("word").where(~F.col("word").isin(list(weight))).distinct()
+    seen = materialize(seen.join(asked, "word", "left_semi"), "seen")
     known = F.create_map(*[F.lit(x) for t, w in weight.items() for x in (t, w)])
     shares = F.transform(_vectors(templates, weight), lambda t: t["share"])
     w, n = F.col("w"), F.col("n")
-    parts = counts.withColumn("w", F.try_element_at(known, F.col("word")))
+    # unknown is ln(n + 1) + 1 for n texts.
+    parts = counts.join(seen, "word", "left").select(
+        "unit", "word", "n", F.coalesce(F.try_element_at(known, F.col("word")), unknown - F.log(F.coalesce("df", F.lit(0)) + 1)).alias("w")
+    )
     parts = units.select("unit", "k").distinct().join(parts, "unit")
     scores = parts.groupBy("unit", "k").agg(
         F.sum(n * w * F.try_element_at(F.element_at(shares, F.col("k") + 1), F.col("word"))).alias("dot"),
-        F.sqrt(F.sum(F.when(w.isNull(), n * unknown * unknown).otherwise(n * w * n * w))).alias("size"),
+        F.sqrt(F.sum(n * w * n * w)).alias("size"),
     )
     scores = scores.select("unit", "k", F.round(-F.col("dot") / F.col("size"), 6).alias("minus")).where(F.col("minus") <= -templates.least)
     best = units.drop("words").join(materialize(scores, "scores"), ["unit", "k"])

@@ -121,3 +121,15 @@ def test_notices_over_lines_within_lines_and_licence_texts(spark):
     got = {r.doc_id: r.own_license for r in scan(files).collect()}
     assert [got[k] for k in range(len(wanted))] == [w for w, _ in wanted]
     assert {got[f[0]] for f in filler} == {None}
+
+
+def test_ordinary_words_weigh_by_their_own_frequency(spark):
+    text = "Released and also under the MIT License."
+    rows = [(1, "a/f", text), *((10 + k, "b/f", "and also so on") for k in range(300))]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    templates = Templates(texts={"MIT": TEMPLATES["MIT"]}, passages=(), titles=())
+    n = len(rows)
+    idf = lambda df: math.log((n + 1) / (df + 1)) + 1
+    score = math.sqrt(5 * idf(1) ** 2 / (5 * idf(1) ** 2 + 2 * idf(n) ** 2))
+    found = [r for r in scan(files, templates).collect() if r.own_license]
+    assert [(r.doc_id, r.own_license, r.own_score) for r in found] == [(1, "MIT", round(score, 6))]
