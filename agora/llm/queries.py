@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, html_content, licenses, repetition, secret_scan, simhash, token_files, toxicity, vafile
+from agora.llm import bpe, curriculum, html_content, licenses, ngram_join, repetition, secret_scan, simhash, token_files, toxicity, vafile
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -86,6 +86,11 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every document."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_license_scan": op2_license_scan,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_marginals": op9_html_marginals,
     "op10_curriculum_mix": op10_curriculum_mix,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
 }
 
 #: Where SQL can express the query.
