@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agora.llm import bpe, curriculum, divergence, html_content, licenses, ngram_join, repetition, secret_scan, simhash, token_files, toxicity, vafile
+from agora.llm import bpe, curriculum, divergence, html_content, licenses, ngram_join, prefix_trie, repetition, secret_scan, simhash, token_files, toxicity, vafile
 from agora.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -91,6 +91,11 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the rebuilt conversations' prefix trie."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sources, and terms of each source, by divergence."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -108,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op9_html_marginals": op9_html_marginals,
     "op10_curriculum_mix": op10_curriculum_mix,
     "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -116,5 +122,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.SCAN_SQL,
     "op3_vector_file_search": vafile.TOP_K_SQL,
     "op10_curriculum_mix": curriculum.SCHEDULE_SQL,
+    "op12_conversation_trie": prefix_trie.TRIE_SQL,
     "op13_source_divergence": divergence.AUDIT_SQL,
 }
