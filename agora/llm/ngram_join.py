@@ -155,7 +155,8 @@ def _candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) -
         .select("code")
     )
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    chosen = texts.withColumn("code", F.xxhash64("text")).join(materialize(left.distinct(), "chosen"), "code", "left_semi")
+    # Never a broadcast: what step 2 leaves grows with the input.
+    chosen = texts.withColumn("code", F.xxhash64("text")).join(materialize(left.distinct(), "chosen").hint("merge"), "code", "left_semi")
     found = _sets(chosen, words, sets=True).groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     return materialize(found.withColumn("sid", F.monotonically_increasing_id()), "candidates")
 
