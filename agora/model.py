@@ -14,6 +14,12 @@ class Tables:
     Before cleaning ``payments`` holds one row per payment leg; after
     ``clean_tables`` it holds one row per order and the legs are kept in
     ``payment_legs``.
+
+    ``item_products`` and ``order_customers`` are the two joins by other keys
+    than order_id that order-level results need (every item with its
+    product's category, every order with its customer's place). Prepared
+    tables carry them, so that such results need no shuffle by order_id;
+    where they are absent the operators join.
     """
 
     orders: DataFrame
@@ -26,6 +32,8 @@ class Tables:
     product_category: DataFrame
     geolocation: DataFrame | None = None
     payment_legs: DataFrame | None = None
+    item_products: DataFrame | None = None
+    order_customers: DataFrame | None = None
 
     def with_(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)

@@ -43,6 +43,9 @@ def category_items(t: Tables, *extra: str) -> DataFrame:
     ``category``. The category is joined at product grain first, so item
     rows meet one dimension relation. Items whose product was dropped or
     whose category has no translation fall out."""
+    if t.item_products is not None:
+        found = t.item_products.where("translated")
+        return found.select("order_id", F.col("product_category_name_english").alias("category"), *extra)
     items = t.order_items.select("order_id", "product_id", *extra)
     return items.join(category_products(t), "product_id").select("order_id", "category", *extra)
 
@@ -155,10 +158,12 @@ def high_value_categories(
     value column only). The threshold is a literal and the high-value count
     a scalar subquery: no cross join.
     """
-    totals = written(
-        t.order_items.groupBy("order_id").agg(F.sum(line_revenue()).alias("order_value")), "order_totals"
-    )
-    threshold = exact_percentile(totals, "order_value", p)
+    totals = t.order_items.groupBy("order_id").agg(F.sum(line_revenue()).alias("order_value"))
+    stored = written(totals, "order_totals")
+    threshold = exact_percentile(stored, "order_value", p)
+    # Prepared items are in buckets by order: adding them up again needs no
+    # shuffle, while the stored totals would have to be shuffled to meet them.
+    totals = stored if t.item_products is None else totals
     high = totals.filter(F.col("order_value").cast("double") > F.lit(threshold)).select("order_id")
     n_high = high.agg(F.count(F.lit(1))).scalar()
     return (

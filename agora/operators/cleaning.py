@@ -86,28 +86,43 @@ def order_payments(payments: DataFrame) -> DataFrame:
     )
 
 
+def item_products(t: Tables) -> DataFrame:
+    """Every item with its product's category: product_category_name, its
+    translation (NULL if there is none) and ``translated``, whether the
+    category has an entry. Products get their translation at product grain,
+    so item rows meet one relation."""
+    if t.item_products is not None:
+        return t.item_products
+    category = t.product_category.select("product_category_name", "product_category_name_english", F.lit(True).alias("entry"))
+    products = t.products.select("product_id", "product_category_name").join(category, "product_category_name", "left")
+    items = t.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+    return items.join(products, "product_id", "left").withColumn("translated", F.col("entry").isNotNull()).drop("entry")
+
+
+def order_customers(t: Tables) -> DataFrame:
+    """Every order with its customer's city and state."""
+    if t.order_customers is not None:
+        return t.order_customers
+    return t.orders.join(t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id", "left").select(
+        *t.orders.columns, "customer_city", "customer_state"
+    )
+
+
 def flat_orders(t: Tables) -> DataFrame:
     """The flat order table - every order, left-joined to its customer,
     items (with product category and translation), collapsed payment and
     reviews. One row per order x item x review.
 
-    Products get their translation at product grain, items then meet one
-    relation, and customers are attached at order grain, so the only joins on
-    the fanned-out rows are the order_id joins, which share one hash
-    partitioning. Right-side keys
-    are never NULL, so SQL and dataframe NULL-key matching agree.
+    The joins on the fanned-out rows are by order_id and share one hash
+    partitioning; over prepared tables there is no other join and no shuffle.
+    Right-side keys are never NULL, so SQL and dataframe NULL-key matching
+    agree.
     """
-    cust = t.customers.select("customer_id", "customer_city", "customer_state")
-    products = t.products.select("product_id", "product_category_name").join(
-        t.product_category, "product_category_name", "left"
-    )
-    items = t.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value").join(
-        products, "product_id", "left"
-    )
+    items = item_products(t).drop("translated")
     pays = t.payments.select("order_id", "payment_type", "payment_value")
     revs = t.reviews.select("order_id", "review_score", "review_comment_title", "review_comment_message")
     flat = (
-        t.orders.join(cust, "customer_id", "left")
+        order_customers(t)
         .join(items, "order_id", "left")
         .join(pays, "order_id", "left")
         .join(revs, "order_id", "left")

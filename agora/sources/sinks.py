@@ -1,44 +1,69 @@
 """Sinks: the flat table (S3), the normalised tables (S4), a JDBC target.
 
-All writes replace their target (the analysis reloads tables wholesale),
-so re-running a load is idempotent.
+Tables are replaced all or nothing: a write goes to a new version folder
+(``store``), readers see it once it is complete, and a failed write leaves
+the version before it in place.
+
+The order-keyed tables are bucketed and sorted by order_id, so their joins
+and per-order aggregates need no shuffle, whatever the sizes. Bucketing lives
+in the session's catalog, not in the files; the layout is kept beside them
+and ``read_tables`` registers the tables with it in any session.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agora.functions.metrics import month_label
 from agora.model import Tables
-from agora.sources.readers import read_parquet_table
+from agora.sources import store
 
 MONTH_COLUMN = "purchase_month"
 
+#: Joins by other keys than order_id, made once at the load.
+DERIVED = ("item_products", "order_customers")
+
+#: Tables that are bucketed by order_id.
+ORDER_TABLES = ("orders", "order_items", "payments", "payment_legs", "reviews", *DERIVED)
+LAYOUT = "layout.json"
+
+
+def _by_month(flat: DataFrame) -> DataFrame:
+    return flat.withColumn(MONTH_COLUMN, month_label("order_purchase_timestamp"))
+
 
 def write_flat_table(flat: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
-    """S3: the flat order table as parquet partitioned by purchase month.
+    """S3: the flat order table as parquet partitioned by purchase month,
+    replacing the one before.
 
     The REBALANCE hint shuffles rows by month and lets AQE split a month
     holding a large share of the rows and merge small months, so files come
     out near the advisory partition size: no task writes a file per month it
     happens to hold, and no single task writes a hot month.
     """
+    spark = flat.sparkSession
+    version = store.new_version(spark, path)
     (
-        flat.withColumn(MONTH_COLUMN, month_label("order_purchase_timestamp"))
+        _by_month(flat)
         .hint("rebalance", MONTH_COLUMN)
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", max_records_per_file)
+        .write.option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(MONTH_COLUMN)
-        .parquet(path)
+        .parquet(store.folder(path, version))
     )
+    store.publish(spark, path, version)
 
 
 def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
     """The flat table back; a filter on ``purchase_month`` prunes partitions."""
-    return spark.read.parquet(path)
+    # Months are text even where all of them look like numbers.
+    return spark.read.parquet(store.current(spark, path)).withColumn(MONTH_COLUMN, F.col(MONTH_COLUMN).cast("string"))
 
 
 def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4) -> None:
@@ -54,26 +79,79 @@ def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4)
         list(pool.map(write, outputs.items()))
 
 
-def write_tables(tables: Tables, base_path: str) -> list[str]:
-    """Every table as ``<base_path>/<name>.parquet``, replacing it (the
-    collapsed payments under ``payments``, the legs under ``payment_legs``).
-    REBALANCE lets AQE cut the files near the advisory partition size."""
+def write_tables(tables: Tables, base_path: str, buckets: int | None = None) -> list[str]:
+    """Every table as ``<name>.parquet`` in a new version of ``base_path``
+    (the collapsed payments under ``payments``, the legs under
+    ``payment_legs``); readers see all of them or none.
+
+    Order-keyed tables are cut into ``buckets`` by order_id, one sorted file
+    each (default: the session's shuffle partitions; choose it so that a
+    bucket of the largest table is near 128 MB). REBALANCE lets AQE cut the
+    other tables' files near the advisory partition size. The joins of items
+    with products and of orders with customers are stored too (``DERIVED``)."""
+    from agora.operators.cleaning import item_products, order_customers
+
+    spark = tables.orders.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    version = store.new_version(spark, base_path)
+    folder = store.folder(base_path, version)
     named = tables.named()
     if tables.payment_legs is not None:
         named["payment_legs"] = tables.payment_legs
-    outputs = {os.path.join(base_path, f"{name}.parquet"): df.hint("rebalance") for name, df in named.items()}
-    write_parquet_concurrently(outputs)
-    return list(outputs)
+    named["item_products"] = item_products(tables)
+    named["order_customers"] = order_customers(tables)
+    layout = {n: {"schema": df.schema.jsonValue(), "buckets": buckets if n in ORDER_TABLES else 0} for n, df in named.items()}
+
+    def write(item: tuple[str, DataFrame]) -> None:
+        name, df = item
+        path = _table_path(folder, name)
+        if not layout[name]["buckets"]:
+            df.hint("rebalance").write.parquet(path)
+            return
+        # Shuffled the way buckets are cut: each task writes the one file of its bucket.
+        table = _table_name(path)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        df.repartition(buckets, "order_id").write.bucketBy(buckets, "order_id").sortBy("order_id").option("path", path).saveAsTable(table, format="parquet")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(write, named.items()))
+    store.write_text(spark, f"{folder}/{LAYOUT}", json.dumps(layout))
+    store.publish(spark, base_path, version)
+    return [_table_path(folder, name) for name in named]
+
+
+def _table_path(folder: str, name: str) -> str:
+    return f"{folder}/{name}.parquet"
+
+
+def _table_name(path: str) -> str:
+    """The catalog's name of a table: the same in every session."""
+    return f"agora_{hashlib.md5(path.encode()).hexdigest()}"
 
 
 REQUIRED_TABLES = ["orders", "customers", "order_items", "payments", "reviews", "products", "sellers", "product_category"]
 
 
+def _read_stored(spark: SparkSession, folder: str, name: str, layout: dict) -> DataFrame:
+    """A stored table, through the catalog if it is bucketed."""
+    path, schema = _table_path(folder, name), StructType.fromJson(layout["schema"])
+    if not layout["buckets"]:
+        return spark.read.schema(schema).parquet(path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_table_name(path)} ({columns}) USING parquet "
+        f"CLUSTERED BY (order_id) SORTED BY (order_id) INTO {layout['buckets']} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(_table_name(path))
+
+
 def read_tables(spark: SparkSession, base_path: str, optional: tuple[str, ...] = ()) -> Tables:
-    """Tables written by ``write_tables``; ``optional`` names further tables
-    to read (``geolocation``, ``payment_legs``)."""
-    dfs = {n: read_parquet_table(spark, base_path, n) for n in REQUIRED_TABLES + list(optional)}
-    return Tables(**dfs)
+    """The current version of the tables written by ``write_tables``;
+    ``optional`` names further tables to read (``geolocation``,
+    ``payment_legs``)."""
+    folder = store.current(spark, base_path)
+    layout = json.loads(store.read_text(spark, f"{folder}/{LAYOUT}"))
+    return Tables(**{n: _read_stored(spark, folder, n, layout[n]) for n in [*REQUIRED_TABLES, *DERIVED, *optional]})
 
 
 def load_tables(tables: Tables, base_path: str, verify_keys: bool = True) -> Tables:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
 from agora.catalog import QUERIES, clean
-from agora.operators import delivery, seller
+from agora.operators import category, cleaning, customer, delivery, overview, seller
 from agora.plans.inspect import PAIRWISE_NODES, PYTHON_NODES, plan_nodes, plan_text, pushed_filters, read_schemas
 from agora.sources import sinks
 from tests.conftest import SF_SMALL
@@ -95,3 +96,41 @@ def test_single_partition_exchanges_carry_only_aggregated_rows(spark, key):
     df = entry.queries()[key](spark, SF_SMALL)
     for node in _single_partition_inputs(plan_text(df, "simple")):
         assert node.startswith(AGGREGATES), f"{key}: single-partition exchange over {node[:80]}"
+
+
+BY_ORDER = {
+    "overview_totals": lambda t: overview.overview_totals(t.orders, t.payments),
+    "review_by_timeliness": lambda t: delivery.review_by_timeliness(t.orders, t.reviews),
+    "category_performance": category.category_performance,
+    "seller_scorecard": seller.seller_scorecard,
+    "seller_risk": seller.seller_risk,
+    "spend_per_customer_by_state": customer.spend_per_customer_by_state,
+    "high_value_categories": category.high_value_categories,
+    "flat_orders": cleaning.flat_orders,
+}
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("prepared"))
+    sinks.write_tables(clean(spark, SF_SMALL), base)
+    return sinks.read_tables(spark, base, ("payment_legs",))
+
+
+@pytest.mark.parametrize("key", BY_ORDER)
+def test_prepared_tables_need_no_shuffle_by_order(spark, prepared, key):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = BY_ORDER[key](prepared)
+        text = plan_text(df, "simple")
+        got = sorted(map(str, df.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert not re.search(r"Exchange hashpartitioning\(order_id", text)
+    # Seller risk counts items by seller and product before any join by order.
+    assert key == "seller_risk" or "Bucketed: true" in text
+    assert got == sorted(map(str, QUERIES[key](spark, SF_SMALL).collect()))

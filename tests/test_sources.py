@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from agora.catalog import clean
 from agora.operators import cleaning
 from agora.plans.inspect import plan_text
-from agora.sources import readers, sinks
+from agora.sources import readers, sinks, store
 from agora.sources.schema import CSV_TABLES
 from agora.streaming.ingest import ingest_table
+from tests.conftest import SF_SMALL
 from tests.golden import item, order, tables
 
 ORDERS_CSV = (
@@ -86,7 +90,7 @@ def test_flat_table_sink_partitions_by_month(spark, scratch):
     path = os.path.join(scratch, "flat")
     sinks.write_flat_table(cleaning.flat_orders(t), path)
     flat = sinks.read_flat_table(spark, path)
-    parts = sorted(d for d in os.listdir(path) if d.startswith("purchase_month="))
+    parts = sorted(d for d in os.listdir(store.current(spark, path)) if d.startswith("purchase_month="))
     assert parts == ["purchase_month=2018-01", "purchase_month=2018-02"]
     feb = flat.filter(F.col("purchase_month") == "2018-02")
     assert [r["order_id"] for r in feb.collect()] == ["B"]
@@ -154,3 +158,48 @@ def test_streaming_ingest_of_reviews_flags_before_filling(spark, scratch):
     assert got["r1"]["review_comment_message"].startswith("arrived fine,\n")
     assert got["r2"]["has_comment"] is False
     assert (got["r2"]["review_comment_message"], got["r2"]["review_comment_title"]) == ("", "")
+
+
+def test_a_failed_write_leaves_the_tables_as_they_were(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    base = str(tmp_path / "tables")
+    t = clean(spark, SF_SMALL)
+    sinks.write_tables(t, base)
+    before = {n: df.count() for n, df in sinks.read_tables(spark, base).named().items()}
+    # The last rows of one table break the write after others are written.
+    broken = t.reviews.withColumn("review_score", F.when(F.col("order_id").isNotNull(), F.raise_error(F.lit("lost")).cast("int")))
+    with pytest.raises(PySparkException, match="lost"):
+        sinks.write_tables(t.with_(reviews=broken, orders=t.orders.limit(5)), base)
+    assert {n: df.count() for n, df in sinks.read_tables(spark, base).named().items()} == before
+    with pytest.raises(PySparkException, match="lost"):
+        sinks.write_flat_table(cleaning.flat_orders(t).withColumn("price", F.raise_error(F.lit("lost")).cast("int")), str(tmp_path / "flat"))
+    with pytest.raises(store.NothingPublished):
+        sinks.read_flat_table(spark, str(tmp_path / "flat"))
+
+
+def test_old_versions_go_and_open_readers_keep_theirs(spark, tmp_path):
+    base = str(tmp_path / "tables")
+    t = clean(spark, SF_SMALL)
+    sinks.write_tables(t.with_(orders=t.orders.limit(3)), base)
+    opened = sinks.read_tables(spark, base)
+    # The remains of a write that was killed.
+    store.write_text(spark, store.folder(base, store.new_version(spark, base)) + "/half", "")
+    sinks.write_tables(t.with_(orders=t.orders.limit(4)), base)
+    assert opened.orders.count() == 3
+    sinks.write_tables(t.with_(orders=t.orders.limit(5)), base)
+    assert sinks.read_tables(spark, base).orders.count() == 5
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir()) == ["_published", "v-000000000003", "v-000000000004"]
+    assert store.current_version(spark, base) == 4
+
+
+def test_bucketed_tables_open_in_another_catalog(spark, tmp_path):
+    """The layout is beside the data: a session that has never seen the
+    tables reads them in buckets."""
+    base = str(tmp_path / "tables")
+    paths = sinks.write_tables(clean(spark, SF_SMALL), base, buckets=3)
+    for path in paths:
+        spark.sql(f"DROP TABLE IF EXISTS {sinks._table_name(path)}")
+    t = sinks.read_tables(spark, base)
+    assert t.orders.groupBy("order_id").count().count() == clean(spark, SF_SMALL).orders.count()
+    assert len(t.orders.inputFiles()) == 3
