@@ -58,6 +58,9 @@ def write_flat_table(flat: DataFrame, path: str, max_records_per_file: int = 5_0
         .parquet(store.folder(path, version))
     )
     store.publish(spark, path, version)
+    for old in store.children(spark, path):
+        if old.startswith("_digests-") and old != f"_digests-{version:012d}":
+            store.remove(spark, f"{path}/{old}")
 
 
 def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +69,63 @@ def read_flat_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(store.current(spark, path)).withColumn(MONTH_COLUMN, F.col(MONTH_COLUMN).cast("string"))
 
 
+def order_digests(flat: DataFrame) -> DataFrame:
+    """(order_id, purchase_month, n, digest): what the flat table holds of
+    each order, in two sums over its rows (exact, in any order)."""
+    rows = _by_month(flat)
+    row = F.xxhash64(*[F.col(c) for c in flat.columns]).cast("decimal(38,0)")
+    return rows.groupBy("order_id", MONTH_COLUMN).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("digest"))
+
+
+def changed_months(before: DataFrame, after: DataFrame) -> list[str | None]:
+    """Months in which some order's rows differ between two tables of
+    ``order_digests`` (come, go, or change); at most as many as partitions."""
+    both = before.unionByName(after.withColumns({"n": -F.col("n"), "digest": -F.col("digest")}))
+    left = both.groupBy("order_id", MONTH_COLUMN).agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+    months = left.where("n <> 0 or digest <> 0").select(MONTH_COLUMN).distinct().collect()
+    return sorted((r[0] for r in months), key=lambda m: (m is not None, m))
+
+
+def update_flat_table(flat: DataFrame, path: str) -> list[str | None]:
+    """S3 kept up to date: brings the stored flat table to ``flat`` by
+    rewriting the months of changed orders only; returns these months.
+
+    Changes are found from per-order digests of the flat rows; those of the
+    stored table are kept beside it, so it is not read. The months are
+    replaced by a dynamic partition overwrite, which stages its files and
+    moves them when all are written; the other months keep theirs. The
+    digests follow last: an update that fails in between is found again by
+    the next one. Months that no order is left in are removed."""
+    spark = flat.sparkSession
+    version = store.current_version(spark, path)
+    folder, digests = store.folder(path, version), f"{path}/_digests-{version:012d}"
+    try:
+        before = spark.read.parquet(store.current(spark, digests))
+    except store.NothingPublished:
+        before = order_digests(read_flat_table(spark, path).select(*flat.columns))
+    number = store.new_version(spark, digests)
+    order_digests(flat).write.parquet(store.folder(digests, number))
+    after = spark.read.parquet(store.folder(digests, number))
+    months = changed_months(before, after)
+    if months:
+        named = [m for m in months if m is not None]
+        chosen = F.col(MONTH_COLUMN).isin(named) | (F.col(MONTH_COLUMN).isNull() if None in months else F.lit(False))
+        (
+            _by_month(flat)
+            .where(chosen)
+            .hint("rebalance", MONTH_COLUMN)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(MONTH_COLUMN)
+            .parquet(folder)
+        )
+        left = {r[0] for r in after.where(chosen).select(MONTH_COLUMN).distinct().collect()}
+        for month in set(months) - left:
+            store.remove(spark, f"{folder}/{MONTH_COLUMN}={month or '__HIVE_DEFAULT_PARTITION__'}")
+    store.publish(spark, digests, number, keep=0)
+    return months
+
+
 def write_parquet_concurrently(outputs: dict[str, DataFrame], max_jobs: int = 4) -> None:
     """Replace each ``path -> DataFrame`` as parquet, submitting the
     independent write jobs from several driver threads so the scheduler

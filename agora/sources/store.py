@@ -25,7 +25,8 @@ def _fs(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
     fs, at = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
@@ -37,11 +38,11 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def _published(spark: SparkSession, base: str) -> list[int]:
-    return sorted(int(n) for n in _names(spark, f"{base}/{PUBLISHED}") if n.isdigit())
+    return sorted(int(n) for n in children(spark, f"{base}/{PUBLISHED}") if n.isdigit())
 
 
 def _versions(spark: SparkSession, base: str) -> list[int]:
-    return sorted(int(n.removeprefix(PREFIX)) for n in _names(spark, base) if n.startswith(PREFIX))
+    return sorted(int(n.removeprefix(PREFIX)) for n in children(spark, base) if n.startswith(PREFIX))
 
 
 def folder(base: str, version: int) -> str:
