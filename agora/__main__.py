@@ -2,8 +2,8 @@
 
     python -m agora --csv /data/drop --out /shared/analysis [--segment office_furniture ...]
 
-Reads the nine tables with declared schemas, counts unreadable rows, profiles
-and audits them, cleans them (checking the order keys), writes the cleaned
+Parses each of the nine files once, with declared schemas, into typed tables
+under ``--out/landed``, counts unreadable rows, profiles and audits them, cleans them (checking the order keys), writes the cleaned
 tables, the flat table and the dashboard extracts under ``--out``, then writes
 every report and analysis result as parquet under ``--out/results/<name>``.
 """
@@ -18,8 +18,7 @@ from agora.operators import cleaning, findings, quality
 from agora.report import Params, analyses
 from agora.session import build_session, drop_written
 from agora.sources import sinks
-from agora.sources.readers import corrupt_rows, read_csv_tables, string_columns
-from agora.sources.schema import CSV_TABLES
+from agora.sources.readers import land_csv_tables, landed_corrupt_rows, read_landed
 
 
 def run(
@@ -32,13 +31,12 @@ def run(
 ) -> list[str]:
     """With ``null_tokens`` the missing-value tokens of the original load
     (``NA``, ``null``, ...) become NULL in every text column."""
-    token_columns = {t: string_columns(schema) for t, schema in CSV_TABLES.items()} if null_tokens else None
-    raw = read_csv_tables(
-        spark, csv_dir, null_token_columns=token_columns, include_geolocation=include_geolocation
-    )
+    landed = os.path.join(out_dir, "landed")
+    land_csv_tables(spark, csv_dir, landed, null_tokens=null_tokens, include_geolocation=include_geolocation)
+    raw = read_landed(spark, landed, include_geolocation)
     quality_reports = {
         **{f"preview_{name}": quality.preview(df) for name, df in raw.named().items()},
-        "csv_corrupt_rows": corrupt_rows(spark, csv_dir, include_geolocation=include_geolocation),
+        "csv_corrupt_rows": landed_corrupt_rows(spark, landed, include_geolocation),
         "table_profile": quality.table_profile(raw.named()),
         "null_audit_orders": quality.null_audit(raw.orders),
         "null_audit_reviews": quality.null_audit(raw.reviews),

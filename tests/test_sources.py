@@ -246,3 +246,65 @@ def test_an_update_without_months_and_with_repeated_rows(spark, tmp_path):
     assert [r.order_id for r in sinks.read_flat_table(spark, path).collect()] == ["B", "B"]
     assert sinks.update_flat_table(flat.where("order_id = 'A'"), path) == [None, "2018-01"]
     assert {r.order_id for r in sinks.read_flat_table(spark, path).collect()} == {"A"}
+
+
+def _reviews_file(rng, records, newline="\n"):
+    """A reviews file with quoted line breaks, doubled quotes and blank lines."""
+    lines = [",".join(f.name for f in CSV_TABLES["reviews"])]
+    for k in range(records):
+        message = rng.choice(["", "fine", '"a, b"', '"two' + newline + 'lines"', '"' + newline * 2 + '""quoted""' + newline + '"', '"""x"""', '"' + ("long " * 20 + newline) * rng.randint(1, 6) + '"', "é"])
+        lines.append(f"r{k},o{k % 97},{rng.choice([1, 5, 'NA', '', 'x'])},{rng.choice(['', 't', 'NA'])},{message},2018-01-0{k % 9 + 1},")
+        if k % 50 == 7:
+            lines.append("")
+    return newline.join(lines) + (newline if records % 2 else "")
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, newline):
+    import random
+
+    rng = random.Random(5)
+    for name, n in (("a", 700), ("b", 33), ("c", 0)):
+        (tmp_path / f"{name}.csv").write_bytes(_reviews_file(rng, n, newline).encode())
+    path, schema = str(tmp_path), CSV_TABLES["reviews"]
+    wanted = spark.read.schema(schema).options(**readers.csv_options("reviews")).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "5000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_csv_table(spark, path, schema, table="reviews").collect()
+            blocks = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted(map(str, got)) == sorted(map(str, wanted.collect()))
+        assert blocks > 50 or size != "700"
+
+
+def test_a_record_longer_than_blocks(spark, tmp_path):
+    header = ",".join(f.name for f in CSV_TABLES["reviews"])
+    body = "word " * 30 + "\n"
+    (tmp_path / "r.csv").write_text(f'{header}\nr1,o1,5,,"{body * 40}",,\nr2,o2,4,,"",,\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = {r.review_id: r.review_comment_message for r in readers.read_csv_table(spark, str(tmp_path), CSV_TABLES["reviews"], table="reviews").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got["r1"] == body * 40 and set(got) == {"r1", "r2"}
+
+
+def test_missing_tokens_are_not_unreadable(spark, tmp_path):
+    header = ",".join(f.name for f in CSV_TABLES["products"])
+    (tmp_path / "products.csv").write_text(f"{header}\np1,cat,NA,1,2,3,4,5,6\np2,cat,x,1,2,3,4,5,6\np3,cat,1,2\np4,NA,1,2,3,,nan,5,6\n")
+    for name, schema in CSV_TABLES.items():
+        if name not in ("products", "geolocation"):
+            (tmp_path / f"{name}.csv").write_text(",".join(f.name for f in schema) + "\n")
+    found = readers.corrupt_rows(spark, str(tmp_path), include_geolocation=False).where("table_name = 'products'").first()
+    assert (found.n_rows, found.n_corrupt) == (4, 2)
+    landed = str(tmp_path / "landed")
+    readers.land_csv_tables(spark, str(tmp_path), landed, include_geolocation=False)
+    found = readers.landed_corrupt_rows(spark, landed, include_geolocation=False).where("table_name = 'products'").first()
+    assert (found.n_rows, found.n_corrupt) == (4, 2)
+    products = {r.product_id: r for r in readers.read_landed(spark, landed, False).products.collect()}
+    assert products["p1"].product_name_lenght is None and products["p1"].product_weight_g == 3
+    assert products["p4"].product_category_name is None
