@@ -13,6 +13,7 @@ its final name, so a repeated task replaces a file by an equal one.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,7 +27,9 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agora.llm.common import Memo, bounded_slices, map_arrow, materialize, shared_folder
+from agora.llm.bpe import byte_alphabet
+from agora.llm.common import bounded_slices, map_arrow, materialize, shared_folder
+from agora.llm.merging import PairMerges, packed
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -48,10 +51,14 @@ class WordEncoder:
     white space and, of plain words, their lower-cased letters and the signs
     behind them. The file must drop white space, lower-case, and never join
     letters with signs (as the word-level BPE does), so that a text's ids are
-    its pieces' ids in order. Memory is bounded: each memo has two
-    generations of ``remember`` entries."""
+    its pieces' ids in order. Letters that the memo lacks are merged together
+    by the file's merge list, everything else goes through the library.
+    Memory is bounded: a memo starts anew, from the words in use, beyond
+    ``remember`` entries, and keeps nothing longer than ``LONGEST``."""
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
+    LONGEST = 64
+
+    def __init__(self, path: str, remember: int = 300_000) -> None:
         # Spark runs a worker on each core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,28 +68,64 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.pieces = Memo(self._library, remember)
-        self.words = Memo(self._word, remember)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [(vocab[x], vocab[y]) for x, y in model["merges"]]
+        merged = [vocab[x + y] for x, y in model["merges"]]
+        self.rounds = PairMerges(pairs, merged, self.size)
+        of = byte_alphabet()
+        self.inner, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for char, byte in of.items():
+            self.inner[byte], self.last[byte] = vocab[char], vocab[char + end]
+        self.remember = remember
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _library(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = PLAIN.fullmatch(text)
-        if not plain:
-            return self._library(text)
-        letters, signs = plain.groups()
-        found = self.pieces[letters.lower()]
-        return found + self.pieces[signs] if signs else found
+    def _merged(self, letters: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters (one pre-token each)."""
+        data = [x.encode() for x in letters]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        symbols = self.inner[joined]
+        ends = np.cumsum(lengths) - 1
+        symbols[ends] = self.last[joined[ends]]
+        return packed(*self.rounds.merge(symbols, lengths), self.kind)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Puts new words' ids into the memo."""
+        plain, other = {}, []
+        for word in words:
+            found = PLAIN.fullmatch(text := word.decode()) if len(word) <= self.LONGEST else None
+            if found:
+                plain[word] = (found[1].lower(), found[2])
+            else:
+                other.append((word, text))
+        letters = list({x for x, _ in plain.values()}.difference(self.pieces))
+        self.pieces.update(zip(letters, self._merged(letters), strict=True))
+        for signs in {x for _, x in plain.values()}.difference(self.pieces):
+            self.pieces[signs] = self._library(signs)
+        pieces = self.pieces
+        self.words.update((word, pieces[x] + pieces[y]) for word, (x, y) in plain.items())
+        self.words.update((word, self._library(text)) for word, text in other)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (``kind``) of each text."""
-        out = []
-        for text in texts:
-            out.append(b"".join(map(self.words.__getitem__, text.encode().split())))
-            self.words.turn()
-            self.pieces.turn()
+        parts = [text.encode().split() for text in texts]
+        wanted = set().union(*parts)
+        words = self.words
+        self._learn(wanted.difference(words))
+        out = [b"".join(map(words.__getitem__, mine)) for mine in parts]
+        long = [w for w in wanted if len(w) > self.LONGEST]
+        for word in long:
+            del words[word]
+        if len(words) > self.remember:
+            self.words = {w: words[w] for w in wanted.difference(long)}
+        if len(self.pieces) > self.remember:
+            self.pieces = {}
         return out
 
 
@@ -204,9 +247,9 @@ def write(
                 sink = store.open_output_stream(temporary)
                 writer = Writer(sink, encoder.kind, length, rows)
             sizes = []
-            for packed in encoder.encode(part.column("text").fill_null("").to_pylist()):
-                writer.add(packed + end)
-                sizes.append(len(packed) // encoder.kind.itemsize + 1)
+            for mine in encoder.encode(part.column("text").fill_null("").to_pylist()):
+                writer.add(mine + end)
+                sizes.append(len(mine) // encoder.kind.itemsize + 1)
             ends = offset + np.cumsum(sizes)
             starts = np.concatenate([[offset], ends[:-1]])
             offset = int(ends[-1])
