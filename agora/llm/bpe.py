@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from agora.llm.common import Memo, bounded_slices, map_arrow
+from agora.llm.common import bounded_slices, map_arrow
+from agora.llm.merging import PairMerges, packed
 
 #: The byte-level pre-token pattern and Unicode white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,20 +104,33 @@ def sufficient_lookahead(merges: MergeList) -> int:
     return max(reach.values(), default=0)
 
 
+#: Chunks that are one pre-token: composed Latin letters.
+LETTERS = re.compile(" ?(?:[A-Za-z]+|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)").fullmatch
+
+
 class Transducer:
     """Streaming encoder of one merge list. ``window``: bytes merged at a time
-    beyond the lookahead; ``remember``: chunks kept in each of two
-    generations of the memo."""
+    beyond the lookahead; ``remember``: pre-tokens and chunks in the memo,
+    none longer than ``LONGEST``, before it starts anew from those in use.
+    Short pre-tokens that it lacks are merged together, in array rounds."""
+
+    LONGEST = 64
 
-    def __init__(self, path: str, window: int = 2048, remember: int = 100_000) -> None:
+    def __init__(self, path: str, window: int = 2048, remember: int = 200_000) -> None:
         self.merges = MergeList(path)
         self.lookahead = sufficient_lookahead(self.merges)
         self.none = len(self.merges.merges) * self.merges.size + self.merges.size
         self.window = window + self.lookahead + max(map(len, self.merges.bytes_of))
         self.pre_token = regex.compile(PRE_TOKEN)
+        self.library = Tokenizer.from_file(path).pre_tokenizer
         self.added = re.compile("|".join(map(re.escape, self.merges.added)) or "(?!)")
-        self.words = Memo(self._word, remember)
-        self.memo = Memo(self._chunk, remember)
+        self.added_ids = {token: np.array([k], "<u4").tobytes() for token, k in self.merges.added.items()}
+        size = self.merges.size
+        self.rounds = PairMerges(self.merges.pairs, [self.merges.merges[a * size + b] % size for a, b in self.merges.pairs], size)
+        self.symbol = np.array(self.merges.first, np.int64)
+        self.token_bytes = pa.array(self.merges.bytes_of, pa.large_binary())
+        self.remember = remember
+        self.known: dict[str, bytes] = dict(self.added_ids)
 
     def merge(self, data: bytes) -> list[int]:
         """All merges of ``data``, lowest rank first, leftmost first."""
@@ -171,32 +186,74 @@ class Transducer:
             at += end
         yield from self.merge(data[at:])
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pre_token.findall(chunk)))
-
     def _word(self, word: str) -> bytes:
         data = word.encode()
         ids = self.merge(data) if len(data) <= self.window else list(self.stream(data))
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _pre_tokens(self, chunk: str) -> list[str]:
+        """The pattern's matches. Which characters are letters and numbers
+        differs between editions of Unicode, so beyond Latin the library that
+        the ids must equal decides."""
+        if max(chunk) < "\u0250":
+            return self.pre_token.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenize_str(chunk)]
+
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Puts the ids of new ``chunks`` and of their pre-tokens into the
+        memo; returns those that are too long to stay there."""
+        known = self.known
+        words = set(filter(LETTERS, chunks))
+        several = {c: self._pre_tokens(c) for c in chunks.difference(words)}
+        words.update(*several.values())
+        words.difference_update(known)
+        data = {w: w.encode() for w in words}
+        long = [w for w, x in data.items() if len(x) > self.LONGEST]
+        for w in long:
+            del data[w]
+            known[w] = self._word(w)
+        joined = np.frombuffer(b"".join(data.values()), np.uint8)
+        ids, counts = self.rounds.merge(self.symbol[joined], np.fromiter(map(len, data.values()), np.int64, len(data)))
+        known.update(zip(data, packed(ids, counts, np.dtype("<u4")), strict=True))
+        for c, parts in several.items():
+            if c not in known:
+                known[c] = b"".join([known[w] for w in parts])
+        return long + [c for c in several if len(c) > self.LONGEST and c not in self.added_ids]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers."""
+        chunks = []
+        for text in texts:
+            mine, at = [], 0
+            for m in self.added.finditer(text):
+                mine += CHUNK.findall(text[at : m.start()])
+                mine.append(m.group())
+                at = m.end()
+            chunks.append(mine + CHUNK.findall(text[at:]) if at else CHUNK.findall(text))
+        wanted = set().union(*chunks)
+        known = self.known
+        long = self._learn(wanted.difference(known))
+        out = [b"".join(map(known.__getitem__, mine)) for mine in chunks]
+        for c in set(long):
+            del known[c]
+        if len(known) > self.remember:
+            wanted.difference_update(long)
+            self.known = {c: known[c] for c in wanted} | self.added_ids
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
-        for m in self.added.finditer(text):
-            out += map(self.memo.__getitem__, CHUNK.findall(text[at : m.start()]))
-            out.append(np.array([self.merges.added[m.group()]], "<u4").tobytes())
-            at = m.end()
-        out += map(self.memo.__getitem__, CHUNK.findall(text[at:] if at else text))
-        self.memo.turn()
-        self.words.turn()
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, one after the other."""
+        found = self.token_bytes.take(pa.array(ids))
+        return found.buffers()[2].to_pybytes() if found.buffers()[2] is not None else b""
 
     def decode(self, ids: np.ndarray, block: int = 1 << 16) -> Iterator[str]:
         """The text of ``ids`` in pieces; bytes that are no UTF-8 become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.merges.bytes_of
         for at in range(0, len(ids), block):
-            yield machine.decode(b"".join(map(table.__getitem__, ids[at : at + block].tolist())))
+            yield machine.decode(self.bytes_of(ids[at : at + block]))
         yield machine.decode(b"", True)
 
 
@@ -217,10 +274,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for part in bounded_slices(batches, "text"):
-            packed = [own.encode(t) for t in part.column("text").fill_null("").to_pylist()]
-            sizes = np.array([len(x) // 4 for x in packed], np.int64)
+            encoded = own.encode_all(part.column("text").fill_null("").to_pylist())
+            sizes = np.array([len(x) // 4 for x in encoded], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.ListArray.from_arrays(offsets, ids), pa.array(sizes)], schema=out
             )
@@ -243,15 +300,14 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
         own = transducer(path)
         for part in bounded_slices(batches, "text"):
             counts, ids_hash, text_hash, kept = [], [], [], []
-            for text in part.column("text").fill_null("").to_pylist():
-                packed = own.encode(text)
+            for mine in own.encode_all(part.column("text").fill_null("").to_pylist()):
                 decoded = hashlib.sha256()
-                for piece in own.decode(np.frombuffer(packed, "<u4")):
+                for piece in own.decode(np.frombuffer(mine, "<u4")):
                     decoded.update(piece.encode())
-                counts.append(len(packed) // 4)
+                counts.append(len(mine) // 4)
                 if keep_ids:
-                    kept.append(np.frombuffer(packed, "<i4"))
-                ids_hash.append(hashlib.sha256(packed).hexdigest())
+                    kept.append(np.frombuffer(mine, "<i4"))
+                ids_hash.append(hashlib.sha256(mine).hexdigest())
                 text_hash.append(decoded.hexdigest())
             rows = pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], schema=out

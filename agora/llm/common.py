@@ -79,25 +79,3 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(real)])
     at = np.concatenate([[0], np.cumsum(lengths)])
     return words.filter(pa.array(real)), before[at]
-
-
-class Memo(dict):
-    """Remembers ``make(key)``, in two generations of ``limit`` keys (no longer
-    than ``longest``), so that memory is bounded and frequent keys stay."""
-
-    def __init__(self, make, limit: int, longest: int = 64) -> None:
-        super().__init__()
-        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= self.longest:
-            self[key] = found
-        return found
-
-    def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()

@@ -45,6 +45,22 @@ def test_long_runs_are_stable_in_a_small_window(own, theirs):
     same(own, theirs, "<|endoftext|>a<|endoftext|><|endoftext|> <|endoftext")
 
 
+def test_characters_between_letters_numbers_and_signs(own, theirs):
+    """The library's classes of characters, on a spread of all code points."""
+    for start in range(0x80, 0x30000, 0x4000):
+        chars = [chr(c) for c in range(start, min(start + 0x4000, 0x30000), 5) if not 0xD800 <= c < 0xE000]
+        for text in ("".join(f"a{c}1 {c}b" for c in chars), "".join(f"{c}'s! {c}{c}\n" for c in chars)):
+            same(own, theirs, text)
+
+
+def test_memo_stays_bounded(theirs):
+    small = Transducer(PATH, remember=50)
+    for k in range(20):
+        text = " ".join(f"w{k}x{j} caf\u00e9{j}" for j in range(30)) + "<|endoftext|>" + "z" * 200
+        same(small, theirs, text)
+        assert len(small.known) <= 50 + 200 and max(map(len, small.known)) <= small.LONGEST
+
+
 def test_decoder_keeps_incomplete_sequences(own, theirs):
     ids = [own.merges.first[b] for b in b"\xe4\xb8\xe4\xb8\xad\xff\xf0\x9f\x98"]
     assert "".join(own.decode(np.array(ids, "<u4"), block=1)) == theirs.decode(ids, skip_special_tokens=False)
