@@ -16,7 +16,7 @@ import os
 
 from agora.operators import cleaning, findings, quality
 from agora.report import Params, analyses
-from agora.session import build_session, drop_written
+from agora.session import build_session, run_folder
 from agora.sources import sinks
 from agora.sources.readers import land_csv_tables, landed_corrupt_rows, read_landed
 
@@ -64,7 +64,6 @@ def run(
     # AQE already merges small outputs into few files.
     outputs = {os.path.join(out_dir, "results", name): df for name, df in results.items()}
     sinks.write_parquet_concurrently(outputs)
-    drop_written(spark)
     return sorted(results)
 
 
@@ -79,10 +78,11 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     params = Params(**{f.name: getattr(args, f.name) for f in dataclasses.fields(Params)})
     spark = build_session()
-    names = run(
-        spark, args.csv, args.out, params,
-        include_geolocation=not args.no_geolocation, null_tokens=not args.keep_null_tokens,
-    )
+    with run_folder(spark):
+        names = run(
+            spark, args.csv, args.out, params,
+            include_geolocation=not args.no_geolocation, null_tokens=not args.keep_null_tokens,
+        )
     for name in names:
         print(name)
 

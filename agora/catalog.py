@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from agora.functions.metrics import month_label, timestamp_text, ts_literal
 from agora.model import Tables
 from agora.operators import category, cleaning, customer, delivery, findings, overview, payment, quality, seller
-from agora.session import checkpoint_dir
+from agora.session import new_folder
 from agora.sources import sinks
 from agora.sources.binding import bind_tables
 from agora.sources.readers import register_views
@@ -91,7 +91,7 @@ def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _out_dir(spark: SparkSession) -> str:
     """A new folder for written results, under the shared folder."""
-    return os.path.join(checkpoint_dir(spark), "written", uuid.uuid4().hex)
+    return new_folder(spark, "out")
 
 
 def _dates_as_text(orders: DataFrame) -> DataFrame:
@@ -176,6 +176,7 @@ QUERIES: dict[str, Query] = {
     "seller_risk": lambda s, d: seller.seller_risk(clean(s, d)),
     # customers
     "revenue_by_state": lambda s, d: customer.revenue_by_state(clean(s, d)),
+    "revenue_by_customer": lambda s, d: customer.revenue_by_customer(clean(s, d)),
     "repeat_customers": lambda s, d: customer.repeat_customers(clean(s, d)),
     "repeat_customers_early": lambda s, d: customer.repeat_customers(clean(s, d), purchased_before=REPEAT_BEFORE),
     "spend_per_customer_by_state": lambda s, d: customer.spend_per_customer_by_state(clean(s, d)),

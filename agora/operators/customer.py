@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.metrics import line_revenue, mean, money, month_label, pct, ts_literal
+from agora.functions.running import running_total
 from agora.model import Tables
+from agora.session import written
 
 
 def revenue_per_customer(t: Tables) -> DataFrame:
@@ -53,6 +55,18 @@ def revenue_by_state(t: Tables) -> DataFrame:
     ).orderBy(F.desc("total_revenue"), "customer_state")
 
 
+def revenue_by_customer(t: Tables) -> DataFrame:
+    """Q11 by customer instead of by state: customers may be any number, so
+    no step puts all of them into one task."""
+    revenue = written(revenue_per_customer(t).select("customer_id", F.col("rev").alias("total_revenue")), "revenue")
+    return running_total(revenue, "total_revenue").select(
+        "customer_id",
+        money("total_revenue").alias("total_revenue"),
+        pct("total_revenue", "total", 4).alias("pct_of_total"),
+        pct("running", "total", 4).alias("cumulative_pct"),
+    )
+
+
 def _orders_in_window(orders: DataFrame, purchased_from: str | None, purchased_before: str | None) -> DataFrame:
     ts = F.col("order_purchase_timestamp")
     if purchased_from:

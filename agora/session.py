@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,19 +75,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: The folder of the run in progress, below the shared one.
+_RUN: ContextVar[str] = ContextVar("agora_run", default="")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name of the run in progress."""
+    return f"{checkpoint_dir(spark)}/written/{_RUN.get()}{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a relation as parquet to a new folder under the shared one and
     read it back: later uses prune columns, the planner knows its size, and
     a lost executor re-reads files instead of replaying the work."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/written/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> bool:
-    """Remove everything ``written`` has put into the session's shared
-    folder; call it when the results that read it are no longer needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/written")
+def _remove(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return store.delete(path, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` writes inside this block is removed at its end, when
+    the results that read it have been written; other runs of the session,
+    also concurrent ones, keep theirs. Blocks may be nested."""
+    mine = f"{_RUN.get()}run-{uuid.uuid4().hex}/"
+    token = _RUN.set(mine)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        _remove(spark, f"{checkpoint_dir(spark)}/written/{mine}")
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Remove everything ``written`` has put into the session's shared
+    folder outside of a ``run_folder``, and the latter's too: for the end of
+    a session."""
+    return _remove(spark, f"{checkpoint_dir(spark)}/written")

@@ -6,19 +6,16 @@ old ones. Only the row-wise cleaning steps run here (date coercion and the
 invalid-delivery flag for orders, the comment flag and text fill for
 reviews, the category fill and weight filter for products); aggregating
 steps such as collapsing payments stay batch jobs over the loaded table.
-Progress lives in the checkpoint location, so a restarted query resumes
-where it stopped.
+Progress lives beside the target, so a query restarted in any session
+resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from agora.operators import cleaning
-from agora.session import checkpoint_dir
 from agora.sources.readers import csv_options, header_schema, null_tokens_out, string_columns
 from agora.sources.schema import CSV_TABLES
 
@@ -51,10 +48,12 @@ def ingest_table(
 ) -> StreamingQuery:
     """Start loading ``table`` from ``source_dir`` into parquet at
     ``target_dir``. With ``available_now`` the query processes the files
-    present and stops; otherwise it keeps watching the folder."""
+    present and stops; otherwise it keeps watching the folder. Progress is
+    kept beside the target (``<target_dir>_progress``) unless a location is
+    given, so any later session goes on where this one stopped."""
     stream = csv_stream(spark, table, source_dir)
     cleaned = ROW_CLEANING.get(table, lambda df: df)(stream)
-    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "ingest", table)
+    location = checkpoint_location or target_dir.rstrip("/") + "_progress"
     writer = (
         cleaned.writeStream.format("parquet")
         .option("path", target_dir)

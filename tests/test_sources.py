@@ -308,3 +308,33 @@ def test_missing_tokens_are_not_unreadable(spark, tmp_path):
     products = {r.product_id: r for r in readers.read_landed(spark, landed, False).products.collect()}
     assert products["p1"].product_name_lenght is None and products["p1"].product_weight_g == 3
     assert products["p4"].product_category_name is None
+
+
+def test_a_restarted_load_goes_on_where_it_stopped(spark, tmp_path):
+    """Progress is beside the target, not in the session's own folder."""
+    src, target = str(tmp_path / "in"), str(tmp_path / "out")
+    _drop(src, "orders_1", ORDERS_CSV)
+    sc, before = spark.sparkContext, spark.sparkContext.getCheckpointDir()
+    try:
+        for number in (1, 2):
+            sc.setCheckpointDir(str(tmp_path / f"session_{number}"))
+            ingest_table(spark, "orders", src, target).awaitTermination(120)
+            assert spark.read.parquet(target).count() == 3
+    finally:
+        sc.setCheckpointDir(before)
+    assert (tmp_path / "out_progress").is_dir()
+
+
+def test_a_run_removes_its_intermediate_tables_only(spark):
+    from agora.session import run_folder, written
+
+    kept = written(spark.range(3), "kept")
+    with run_folder(spark):
+        outer = written(spark.range(4), "outer")
+        with run_folder(spark):
+            inner = written(spark.range(5), "inner")
+            assert (kept.count(), outer.count(), inner.count()) == (3, 4, 5)
+            places = [df.inputFiles()[0].removeprefix("file:") for df in (inner, outer, kept)]
+        assert [os.path.exists(p) for p in places] == [False, True, True]
+        assert outer.count() == 4
+    assert [os.path.exists(p) for p in places] == [False, False, True]
