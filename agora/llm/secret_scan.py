@@ -1,27 +1,34 @@
 """Secret scan: fixed patterns plus a randomness test battery.
 
 Three patterns give the base spans. On what they leave, runs of encoding
-characters are candidates. Each is read in its inferred encoding (hex,
-base 32, 36, 64) and tested for randomness: chi-squared uniformity over the
-alphabet, the number of runs above and below the alphabet's middle, and the
-lag-one serial correlation. The three z-scores add up to a departure from
-randomness. Plain words of similar length, taken from the whole corpus, give
-the departure's distribution for ordinary text in each length class; a
-candidate's p-value is the chance that an ordinary word looks as random. The
-Benjamini-Hochberg step over all candidates of the corpus then decides which
-are secrets at false discovery rate ``fdr``.
-
-Everything is DataFrame expressions over one row at a time; only sums per
-length class and a histogram of p-values are shuffled and reach the driver
-(a fixed number of rows).
+characters are candidates. Each is read in its inferred encoding (letters,
+hex, base 32, 36, 64) and tested for randomness: chi-squared uniformity over
+the alphabet, the number of runs above and below the alphabet's middle, and
+the lag-one serial correlation. The z-scores add up to a departure from
+randomness, which grows with length for ordinary text and does not for
+random characters.
+
+``reference`` is the departure's distribution for ordinary text of an
+encoding and length: letters as frequent as in running text, with the
+capitals, digits and signs that names have. It is simulated from fixed
+shares, so no answer depends on what else a table holds, but for the number
+of tests: a candidate's p-value is the chance that ordinary text of its
+length looks as random, and the Benjamini-Hochberg step runs within each
+encoding and length class at false discovery rate ``fdr``, so that many short
+words do not hide a long key.
+
+Everything is DataFrame expressions over one row at a time; only a histogram
+of p-values per class is shuffled and reaches the driver (a bounded number of
+rows).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agora.llm.common import materialize
@@ -51,14 +58,57 @@ ALPHABETS = {
 CLASSES = (16, 20, 24, 32, 48)
 STEP, LAST = 0.01, 5000
 
-
-@dataclass(frozen=True)
-class Threshold:
-    """What the corpus decided: mean and deviation of ordinary words'
-    departure by length class (None: too few), and the least -ln p bucket."""
-
-    moments: tuple[tuple[float, float] | None, ...]
-    bucket: int
+#: Lengths for which the reference is simulated; between them it is linear.
+LENGTHS = (16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
+
+#: Letters per 1000 of running text, a to z (a round mean of
+#: English, German, French and Spanish).
+LETTER_SHARES = (86, 15, 30, 43, 146, 14, 17, 24, 76, 3, 5, 45, 27, 77, 57, 20, 5, 65, 70, 68, 40, 11, 10, 3, 6, 7)
+
+#: Shares of small letters, capitals, digits and signs in ordinary candidates.
+SHARES = {"word": (1, 0, 0, 0), "hex": (0.75, 0, 0.25, 0), "b32": (0, 0.85, 0.15, 0), "b36": (0.85, 0, 0.15, 0), "b64": (0.8, 0.1, 0.05, 0.05)}
+
+#: The least -ln p bucket that is a secret, by encoding and length class.
+Threshold = dict[tuple[str, int], int]
+
+
+def battery(x: np.ndarray, k: int) -> np.ndarray:
+    """The departure of each row of symbol numbers below ``k``."""
+    n, df = x.shape[1], k - 1
+    squares = sum((x == c).sum(axis=1).astype(float) ** 2 for c in range(k))
+    chi = np.maximum(k / n * squares - n, 0)
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    side = x * 2 >= k
+    high = side.sum(axis=1).astype(float)
+    changes = (side[:, 1:] != side[:, :-1]).sum(axis=1)
+    runs = 2 * high * (n - high) / n + 1
+    spread = (runs - 1) * (runs - 2) / (n - 1)
+    z_runs = np.where(spread > 0, (changes + 1 - runs) / np.sqrt(np.where(spread > 0, spread, 1)), math.sqrt(n))
+    off = x - x.mean(axis=1, keepdims=True)
+    total = (off * off).sum(axis=1)
+    z_serial = np.where(total > 0, (off[:, 1:] * off[:, :-1]).sum(axis=1) / np.where(total > 0, total, 1), 1) * math.sqrt(n)
+    return z_chi + (np.abs(z_runs) + np.abs(z_serial)) / 4
+
+
+@lru_cache(maxsize=None)
+def reference(kind: str, length: int, samples: int = 4000) -> tuple[float, float]:
+    """Mean and deviation of the departure of ordinary text."""
+    alphabet = ALPHABETS[kind]
+    small, capital, digit, sign = SHARES[kind]
+    letters = np.array(LETTER_SHARES) / sum(LETTER_SHARES)
+    share = np.zeros(len(alphabet))
+    for at, c in enumerate(alphabet):
+        if c.isalpha():
+            share[at] = (small if c.islower() else capital) * letters[ord(c.lower()) - ord("a")]
+        else:
+            share[at] = digit if c.isdigit() else sign
+    groups = [c.isdigit() for c in alphabet], [c in "+/" for c in alphabet]
+    for members in groups:
+        share[members] /= max(1, sum(members))
+    share /= share.sum()
+    x = np.random.default_rng(length).choice(len(alphabet), (samples, length), p=share)
+    found = battery(x, len(alphabet))
+    return round(float(found.mean()), 4), round(float(found.std()), 4)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -154,11 +204,11 @@ def encoding(token: Column) -> Column:
 
 def departure(token: Column, kind: Column) -> Column:
     """How far a token departs from random characters of its encoding, in
-    added z-scores."""
+    added z-scores (``battery`` in columns)."""
     plain = F.when(kind.isin("word", "hex", "b36"), F.lower(token)).when(kind == "b64", F.translate(F.rtrim(F.translate(token, "=", " ")), "-_ ", "+/=")).otherwise(token)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for k, v in ALPHABETS.items() for x in (k, v)]), kind)
 
-    def battery(s: Column) -> Column:
+    def tests(s: Column) -> Column:
         x, n, k = s["x"], F.size(s["x"]).cast("double"), s["k"].cast("double")
         squares = F.aggregate(
             F.array_distinct(x),
@@ -181,12 +231,12 @@ def departure(token: Column, kind: Column) -> Column:
             return F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(F.sqrt(n))
 
         z_serial = _let(mean, serial)
-        return F.abs(z_chi) + (F.abs(z_runs) + F.abs(z_serial)) / 2
+        return z_chi + (F.abs(z_runs) + F.abs(z_serial)) / 4
 
     values = F.transform(
         F.filter(F.split(plain, ""), lambda c: F.length(c) > 0), lambda c: F.greatest(F.instr(alphabet, c) - 1, F.lit(0)).cast("int")
     )
-    return _let(F.struct(values.alias("x"), F.length(alphabet).alias("k")), lambda s: F.when(F.size(s["x"]) > 2, battery(s)))
+    return _let(F.struct(values.alias("x"), F.length(alphabet).alias("k")), lambda s: F.when(F.size(s["x"]) > 2, tests(s)))
 
 
 def _class(size: Column) -> Column:
@@ -195,26 +245,35 @@ def _class(size: Column) -> Column:
 
 
 def _judged(token: Column) -> Column:
-    """(kind, size class, departure) of a candidate."""
-    kind = encoding(token)
-    return F.struct(
-        kind.alias("kind"),
-        _class(F.length(token)).alias("cls"),
-        F.when(kind.isNotNull(), departure(token, kind)).alias("z"),
+    """(kind, size class, p-value bucket) of a candidate."""
+    kind, size = encoding(token), F.length(token)
+
+    def bucket(z: Column) -> Column:
+        return F.when(kind.isNotNull(), _bucket(z, kind, size))
+
+    return F.struct(kind.alias("kind"), _class(size).alias("cls"), F.when(kind.isNotNull(), _let(departure(token, kind), bucket)).alias("bucket"))
+
+
+def _bucket(departed: Column, kind: Column, size: Column) -> Column:
+    """-ln p in histogram steps: p is the chance that ordinary text of this
+    encoding and length departs as little."""
+    n = F.greatest(F.lit(LENGTHS[0]), F.least(size, F.lit(LENGTHS[-1]))).cast("double")
+    at = sum(((n >= low).cast("int") for low in LENGTHS[1:-1]), F.lit(0))
+    table = F.create_map(
+        *[x for k in ALPHABETS for x in (F.lit(k), F.array(*[F.struct(*[F.lit(float(v)) for v in (m, *reference(k, m))]) for m in LENGTHS]))]
     )
 
+    def score(s: Column) -> Column:
+        low, high = s["t"][s["at"]], s["t"][s["at"] + 1]
+        part = (n - low["col1"]) / (high["col1"] - low["col1"])
+        mean = low["col2"] + part * (high["col2"] - low["col2"])
+        spread = low["col3"] + part * (high["col3"] - low["col3"])
+        z = F.least((departed - mean) / spread, F.lit(8.0))
+        # The normal tail's logistic form, exact to 2e-4 and falling in z.
+        minus_ln_p = F.log1p(F.exp(F.least(F.lit(300.0), -(1.5976 * z + 0.070566 * z * z * z))))
+        return F.least(F.floor(minus_ln_p / STEP), F.lit(LAST)).cast("int")
 
-def _bucket(judged: Column, moments: tuple[tuple[float, float] | None, ...]) -> Column:
-    """-ln p of a judged candidate in histogram steps; null if it is a word
-    or has no reference."""
-    z: Column = F.lit(None).cast("double")
-    for k, found in enumerate(moments):
-        if found:
-            z = F.when(judged["cls"] == k, (judged["z"] - found[0]) / found[1]).otherwise(z)
-    z = F.least(z, F.lit(8.0))
-    # The normal tail's logistic form, exact to 2e-4 and falling in z.
-    minus_ln_p = F.log1p(F.exp(F.least(F.lit(300.0), -(1.5976 * z + 0.070566 * z * z * z))))
-    return F.when(judged["kind"] != "word", F.least(F.floor(minus_ln_p / STEP), F.lit(LAST)).cast("int"))
+    return _let(F.struct(F.element_at(table, kind).alias("t"), at.alias("at")), score)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -236,40 +295,34 @@ def candidates(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "assign", "access", "hex", _parts(F.col("masked"), CANDIDATE, judge, F.array().cast(JUDGED)).alias("candidates"))
 
 
-JUDGED = "array<struct<start:bigint,end:bigint,judged:struct<kind:string,cls:int,z:double>>>"
-
-
-def decide(found: DataFrame, fdr: float = 0.01, least: int = 30) -> Threshold:
-    """The corpus-wide threshold. A length class with fewer than ``least``
-    ordinary words uses the next shorter class that has enough (longer words
-    depart more, so this errs towards silence); without any reference nothing
-    is added."""
-    judged = found.select(F.explode("candidates.judged").alias("j"))
-    rows = {
-        r.cls: r
-        for r in judged.where("j.kind = 'word' and j.z is not null")
-        .groupBy(F.col("j.cls").alias("cls"))
-        .agg(F.count("*").alias("n"), F.sum("j.z").alias("s"), F.sum(F.col("j.z") * F.col("j.z")).alias("q"))
-        .collect()
-    }
-    moments: list[tuple[float, float] | None] = []
-    for k in range(len(CLASSES)):
-        r = rows.get(k)
-        if r is not None and r.n >= least:
-            mean = r.s / r.n
-            moments.append((round(mean, 6), max(0.25, round(math.sqrt(max(0.0, r.q / r.n - mean * mean)), 6))))
-        else:
-            moments.append(moments[-1] if moments else None)
-    counts = {
-        r.b: r["count"]
-        for r in judged.select(_bucket(F.col("j"), tuple(moments)).alias("b")).where("b is not null").groupBy("b").count().collect()
-    }
-    tests, below, bucket = sum(counts.values()), 0, LAST + 1
+JUDGED = "array<struct<start:bigint,end:bigint,judged:struct<kind:string,cls:int,bucket:int>>>"
+
+
+def decide(found: DataFrame, fdr: float = 0.01) -> Threshold:
+    """The Benjamini-Hochberg step of each encoding and length class."""
+    judged = found.select(F.explode("candidates.judged").alias("j")).where("j.bucket is not null")
+    counts: dict[tuple[str, int], dict[int, int]] = {}
+    for r in judged.groupBy("j.kind", "j.cls", "j.bucket").count().collect():
+        counts.setdefault((r.kind, r.cls), {})[r.bucket] = r["count"]
+    return {group: least_bucket(of, fdr) for group, of in counts.items()}
+
+
+def least_bucket(counts: dict[int, int], fdr: float) -> int:
+    """The least bucket of -ln p that the step accepts, given how many tests
+    each bucket holds; one above all buckets if it accepts none."""
+    tests, below, least = sum(counts.values()), 0, LAST + 1
     for b in sorted(counts, reverse=True):
         below += counts[b]
         if math.exp(-b * STEP) <= fdr * below / tests:
-            bucket = b
-    return Threshold(tuple(moments), bucket)
+            least = b
+    return least
+
+
+def _secret(judged: Column, threshold: Threshold) -> Column:
+    limit = F.lit(LAST + 1)
+    for (kind, cls), least in sorted(threshold.items()):
+        limit = F.when((judged["kind"] == kind) & (judged["cls"] == cls), least).otherwise(limit)
+    return F.coalesce(judged["bucket"] >= limit, F.lit(False))
 
 
 def spans(found: DataFrame, threshold: Threshold) -> DataFrame:
@@ -278,7 +331,7 @@ def spans(found: DataFrame, threshold: Threshold) -> DataFrame:
     def of(name: str, number: int) -> Column:
         return F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
 
-    random = F.filter("candidates", lambda x: F.coalesce(_bucket(x["judged"], threshold.moments) >= threshold.bucket, F.lit(False)))
+    random = F.filter("candidates", lambda x: _secret(x["judged"], threshold))
     base = [of(k, n) for n, k in enumerate(KINDS[:3])]
     added = F.transform(random, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return found.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*base, added)).alias("spans"))
@@ -313,8 +366,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = 0.01) -> DataFr
     rows = without_base(rows, "text", lambda m: F.lit(mark))
 
     def swap(m: Column, _: Column) -> Column:
-        bucket = _let(_judged(m), lambda j: _bucket(j, limit.moments))
-        secret = F.coalesce(bucket >= limit.bucket, F.lit(False))
+        secret = _let(_judged(m), lambda j: _secret(j, limit))
         return F.when(secret, F.lit(mark)).otherwise(m)
 
     rows = rows.withColumn("text", _parts(F.col("text"), CANDIDATE, lambda p: _rebuilt(p, swap), F.col("text")))

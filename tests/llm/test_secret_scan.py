@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from agora.llm.queries import op8_secret_scan
-from agora.llm.secret_scan import KINDS, candidates, decide, listed, redact, scan, spans
+from agora.llm.secret_scan import ALPHABETS, KINDS, STEP, battery, departure, encoding, least_bucket, redact, reference, scan
 
 KEYWORD = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 BASE = (
@@ -89,9 +94,84 @@ def test_query_digests(spark):
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
 
 
-def test_no_reference_words_adds_nothing(spark):
-    docs = spark.createDataFrame([(1, "Zx9" * 20)], "doc_id long, text string")
-    found = candidates(docs)
-    limit = decide(found)
-    assert set(limit.moments) == {None}
-    assert spans(found, limit).select(listed("spans").alias("x")).first().x == ""
+def keys(rng: random.Random, alphabet: str, length: int, n: int) -> list[str]:
+    return ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+def added(spark, rows: list[tuple]) -> list[str]:
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    return sorted(texts[r.doc_id][s.start : s.end] for r in scan(docs).collect() for s in r.spans if s.kind == 3)
+
+
+KEY = "qT7vZ2mXc9KfLw4RbY"
+
+
+def test_a_key_is_found_whatever_else_the_table_holds(spark):
+    rows = [r for r in corpus(random.Random(7)) if r[0] and r[0] >= 100]
+    for others in ([], rows[:2], rows):
+        assert added(spark, [*others, (1, f"key {KEY} end")]) == [KEY]
+
+
+def test_keys_of_letters_alone(spark):
+    rng = random.Random(12)
+    rows = [r for r in corpus(rng) if r[0] and r[0] >= 100]
+    lower, upper = keys(rng, string.ascii_lowercase, 64, 6), keys(rng, string.ascii_uppercase, 64, 6)
+    found = added(spark, [*rows, *((k, f"a {key} b") for k, key in enumerate(lower + upper))])
+    assert set(found) <= set(lower + upper)
+    assert len(set(found) & set(lower)) >= 5 and len(set(found) & set(upper)) >= 5
+
+
+def plain_departure(token: str) -> float | None:
+    kind = next((k for k, shape in SHAPES if re.fullmatch(shape, token)), "b64")
+    if kind is None:
+        return None
+    alphabet = ALPHABETS[kind]
+    text = token.rstrip("=").replace("-", "+").replace("_", "/") if kind == "b64" else token if kind == "b32" else token.lower()
+    x = [max(0, alphabet.find(c)) for c in text]
+    n, k = len(x), len(alphabet)
+    chi = max(0.0, k / n * sum(x.count(c) ** 2 for c in set(x)) - n)
+    z_chi = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
+    high = sum(2 * y >= k for y in x)
+    runs = 1 + sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:], strict=False))
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = (runs - mean) / math.sqrt(var) if var > 0 else math.sqrt(n)
+    middle = sum(x) / n
+    square = sum((y - middle) ** 2 for y in x)
+    lag = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:], strict=False))
+    z_serial = lag / square * math.sqrt(n) if square else math.sqrt(n)
+    return z_chi + (abs(z_runs) + abs(z_serial)) / 4
+
+
+SHAPES = [(None, r"[0-9+/_=-]+"), ("word", r"[A-Z]?[a-z]+|[A-Z]+"), ("hex", r"[0-9a-f]+|[0-9A-F]+"), ("b32", r"[A-Z2-7]+"), ("b36", r"[0-9a-z]+|[0-9A-Z]+")]
+
+
+def test_battery_equals_one_token_at_a_time(spark):
+    rng = random.Random(3)
+    tokens = [t for a in ALPHABETS.values() for n in (16, 17, 33, 90) for t in keys(rng, a, n, 4)]
+    tokens += ["a" * 20, "AB" * 10, "Aaaaaaaaaaaaaaaaa", "1234567890123456", "some_long-name_of_it", "abc=def=abc=defg==", "0" * 15 + "F"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = rows.select("t", departure(F.col("t"), encoding(F.col("t"))).alias("z"), encoding(F.col("t")).alias("k")).collect()
+    for r in got:
+        wanted = plain_departure(r.t) if r.k else None
+        assert r.z == pytest.approx(wanted) if r.k else wanted is None
+    x = np.array([[ALPHABETS["b64"].find(c) for c in t] for t in keys(rng, ALPHABETS["b64"], 40, 9)])
+    assert battery(x, 64).tolist() == pytest.approx([plain_departure("".join(ALPHABETS["b64"][y] for y in row)) for row in x.tolist()])
+
+
+def test_false_discovery_step():
+    rng = random.Random(4)
+    for _ in range(200):
+        tests = [rng.choice([rng.randint(0, 900), rng.randint(0, 150)]) for _ in range(rng.randint(1, 60))]
+        p = sorted(math.exp(-b * STEP) for b in tests)
+        accepted = [x for k, x in enumerate(p) if x <= 0.01 * (k + 1) / len(p)]
+        least = least_bucket({b: tests.count(b) for b in tests}, 0.01)
+        assert sum(b >= least for b in tests) == sum(x <= max(accepted, default=-1) for x in p)
+
+
+def test_ordinary_text_departs_more_the_longer_it_is():
+    for kind in ALPHABETS:
+        means = [reference(kind, n)[0] for n in (16, 32, 64, 128)]
+        assert means == sorted(means)
+        assert means[-1] > 2
