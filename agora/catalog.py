@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.metrics import month_label, timestamp_text, ts_literal
 from agora.model import Tables
-from agora.operators import category, cleaning, customer, delivery, findings, overview, payment, quality, seller
+from agora.operators import category, cleaning, customer, delivery, findings, overview, partials, payment, quality, seller
 from agora.session import new_folder
 from agora.sources import sinks
 from agora.sources.binding import bind_tables
@@ -78,6 +78,32 @@ def _updated_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables]:
+    """The cleaned tables as two batches of whole days: the last year's
+    orders with their rows, and everything else."""
+    t = clean(spark, sf_dir)
+    late = t.orders.where(F.col("order_purchase_timestamp") >= ts_literal("1998-01-01"))
+    ids = late.select("order_id")
+
+    def part(how: str) -> dict[str, DataFrame]:
+        return {k: getattr(t, k).join(ids, "order_id", how) for k in ("orders", "order_items", "payments", "payment_legs")}
+
+    return t.with_(**part("left_anti")), t.with_(**part("left_semi"))
+
+
+def _from_states(names: tuple[str, ...], report: Callable[[SparkSession, str, Tables], DataFrame]) -> Query:
+    """A report over stored daily states and a new batch."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = _out_dir(spark)
+        old, new = _batches(spark, sf_dir)
+        partials.write_states(old, base, names)
+        partials.add_days(new, base, names)
+        return report(spark, base, old)
+
+    return query
+
+
 def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised tables through their sink and back, queried by name
     through SQL views: rows per table."""
@@ -184,6 +210,12 @@ QUERIES: dict[str, Query] = {
     # payments
     "payment_mix": lambda s, d: payment.payment_mix(clean(s, d).payment_legs),
     "payment_mix_main_method": lambda s, d: payment.payment_mix_main_method(clean(s, d).payments),
+    # the same from stored daily states and a new batch
+    "overview_totals_from_states": _from_states(("paid",), lambda s, base, t: partials.overview_totals(s, base)),
+    "monthly_trend_from_states": _from_states(("paid",), lambda s, base, t: partials.monthly_trend(s, base, *TREND_WINDOW)),
+    "top_sellers_from_states": _from_states(("sellers",), lambda s, base, t: partials.top_sellers_by_revenue(s, base, t.sellers)),
+    "payment_mix_from_states": _from_states(("legs",), lambda s, base, t: partials.payment_mix(s, base)),
+    "payment_mix_main_method_from_states": _from_states(("main_types",), lambda s, base, t: partials.payment_mix(s, base, main_method=True)),
     # findings stated in prose
     "risk_category_spread": lambda s, d: findings.risk_category_spread(seller.seller_risk(clean(s, d))),
     "revenue_top_n_share": lambda s, d: findings.revenue_top_n_share(clean(s, d)),

@@ -15,11 +15,12 @@ def overview_totals(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Q1: total revenue, number of orders and average order value over
     orders that have a payment (inner join, all statuses)."""
     joined = orders.select("order_id").join(payments.select("order_id", "payment_value"), "order_id")
-    totals = joined.agg(
-        F.sum("payment_value").alias("revenue"),
-        F.count_distinct("order_id").alias("total_orders"),
-    )
-    return totals.select(
+    return totals(joined.agg(F.sum("payment_value").alias("revenue"), F.count_distinct("order_id").alias("total_orders")))
+
+
+def totals(sums: DataFrame) -> DataFrame:
+    """Q1's report of (revenue, total_orders)."""
+    return sums.select(
         money("revenue").alias("total_revenue"),
         "total_orders",
         mean("revenue", "total_orders").alias("avg_order_value"),
@@ -58,13 +59,14 @@ def monthly_trend(
     in_window = orders.filter((ts >= ts_literal(start)) & (ts < ts_literal(end))).select(
         "order_id", month_label(ts).alias("month")
     )
-    return (
+    return trend(
         in_window.join(payments.select("order_id", "payment_value"), "order_id")
         .groupBy("month")
-        .agg(
-            F.count_distinct("order_id").alias("orders"),
-            money(F.sum("payment_value")).alias("revenue"),
-        )
-        .orderBy("month")
+        .agg(F.count_distinct("order_id").alias("orders"), money(F.sum("payment_value")).alias("revenue"))
     )
 
+
+def trend(months: DataFrame) -> DataFrame:
+    """Q3's report of (month, orders, revenue)."""
+    return months.orderBy("month")
+

@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 from agora.functions.metrics import mean, money, pct
 
 
-def payment_mix(payments: DataFrame) -> DataFrame:
-    """Per payment type: orders, share of orders, average and total order
-    value, share of revenue. Values are summed per (order, type) first.
-
-    The shares use a whole-result window over the per-type rows (a handful),
-    never over order rows."""
-    per_order = payments.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("order_value"))
-    per_type = per_order.groupBy("payment_type").agg(
+def per_type(payments: DataFrame, *by: str) -> DataFrame:
+    """Per payment type (and ``by``): orders, orders with a value, revenue.
+    Values are summed per (order, type) first."""
+    per_order = payments.groupBy(*by, "order_id", "payment_type").agg(F.sum("payment_value").alias("order_value"))
+    return per_order.groupBy(*by, "payment_type").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count("order_value").alias("n_values"),
         F.sum("order_value").alias("revenue"),
     )
+
+
+def mix(types: DataFrame) -> DataFrame:
+    """The report over the rows of ``per_type``. The shares use a
+    whole-result window over these rows (a handful), never over order rows."""
     everything = Window.partitionBy()
-    return per_type.select(
+    return types.select(
         "payment_type",
         "n_orders",
         pct("n_orders", F.sum("n_orders").over(everything), 2).alias("pct_of_orders"),
@@ -37,6 +39,12 @@ def payment_mix(payments: DataFrame) -> DataFrame:
     ).orderBy(F.desc("pct_of_orders"), "payment_type")
 
 
+def payment_mix(payments: DataFrame) -> DataFrame:
+    """Per payment type: orders, share of orders, average and total order
+    value, share of revenue."""
+    return mix(per_type(payments))
+
+
 def payment_mix_main_method(collapsed_payments: DataFrame) -> DataFrame:
     """The same mix over one row per order (type of the largest leg)."""
     return payment_mix(collapsed_payments)

@@ -18,9 +18,13 @@ def top_sellers_by_revenue(t: Tables, limit: int = 20) -> DataFrame:
 
     Items are summed per seller before meeting the sellers table; the sum
     after the join keeps SQL's result even if a seller row repeats."""
-    per_seller = t.order_items.groupBy("seller_id").agg(F.sum(line_revenue()).alias("rev"))
+    return ranked_sellers(t.order_items.groupBy("seller_id").agg(F.sum(line_revenue()).alias("rev")), t.sellers, limit)
+
+
+def ranked_sellers(per_seller: DataFrame, sellers: DataFrame, limit: int) -> DataFrame:
+    """Q8's report of (seller_id, rev)."""
     return (
-        per_seller.join(t.sellers.select("seller_id"), "seller_id")
+        per_seller.join(sellers.select("seller_id"), "seller_id")
         .groupBy("seller_id")
         .agg(money(F.sum("rev")).alias("total_revenue"))
         .orderBy(F.desc("total_revenue"), "seller_id")
