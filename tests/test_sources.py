@@ -338,3 +338,38 @@ def test_a_run_removes_its_intermediate_tables_only(spark):
         assert [os.path.exists(p) for p in places] == [False, True, True]
         assert outer.count() == 4
     assert [os.path.exists(p) for p in places] == [False, False, True]
+
+
+def test_a_category_skips_most_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "flat")
+    sinks.write_flat_table(cleaning.flat_orders(clean(spark, SF_SMALL)), path, max_records_per_file=20)
+    wanted, kept, groups, months = "brand_1", 0, 0, 0
+    for folder, _, files in os.walk(store.current(spark, path)):
+        for name in (f for f in files if f.endswith(".parquet")):
+            meta = pq.ParquetFile(os.path.join(folder, name)).metadata
+            for k in range(meta.num_row_groups):
+                stats = {meta.row_group(k).column(c).path_in_schema: meta.row_group(k).column(c).statistics for c in range(meta.num_columns)}
+                category = stats["product_category_en"]
+                groups += 1
+                months += folder.endswith("1996-03")
+                kept += category.has_min_max and category.min <= wanted <= category.max
+    assert groups > 100 and kept < groups / 2 and months < groups / 20
+
+
+def test_profile_of_stored_tables_comes_from_footers(spark, tmp_path):
+    from agora.operators import quality
+
+    base = str(tmp_path / "tables")
+    t = clean(spark, SF_SMALL)
+    paths = {os.path.basename(p).removesuffix(".parquet"): p for p in sinks.write_tables(t, base)}
+    paths = {n: p for n, p in paths.items() if n in t.named()}
+    assert "PushedAggregation: [COUNT(*), COUNT(order_id)" in plan_text(quality.footer_counts(spark, paths["orders"]), "simple")
+    got = quality.stored_profile(spark, paths)
+    key = lambda r: (r.table_name, r.column_name)
+    columns = ["table_name", "column_name", "data_type", "n_rows", "non_null"]
+    assert sorted(got.select(*columns).collect(), key=key) == sorted(quality.table_profile(t.named()).select(*columns).collect(), key=key)
+    audit = got.where("table_name = 'orders' and null_count > 0").select("column_name", "null_count", "null_percentage")
+    assert sorted(audit.collect()) == sorted(quality.null_audit(t.orders).collect())
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
