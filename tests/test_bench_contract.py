@@ -32,4 +32,5 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001
     assert set(d["queries"]) == {"on_time_rate", "seller_risk"}
+    assert set(d["prepared"]) == {"prepare", "seller_risk"} and d["calibration"] > 0
     assert d["value"] == round(sum(d["queries"].values()), 3)
