@@ -116,7 +116,7 @@ class Transducer:
 
     LONGEST = 64
 
-    def __init__(self, path: str, window: int = 2048, remember: int = 200_000) -> None:
+    def __init__(self, path: str, window: int = 2048, remember: int = 100_000) -> None:
         self.merges = MergeList(path)
         self.lookahead = sufficient_lookahead(self.merges)
         self.none = len(self.merges.merges) * self.merges.size + self.merges.size
@@ -263,6 +263,9 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+#: Bytes of text encoded at a time; a slice's pieces are held as Python strings.
+SLICE = 2 << 20
+
 ENCODED = "doc_id long, ids array<int>, n_tokens long"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -273,7 +276,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
-        for part in bounded_slices(batches, "text"):
+        for part in bounded_slices(batches, "text", SLICE):
             encoded = own.encode_all(part.column("text").fill_null("").to_pylist())
             sizes = np.array([len(x) // 4 for x in encoded], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -298,7 +301,7 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
-        for part in bounded_slices(batches, "text"):
+        for part in bounded_slices(batches, "text", SLICE):
             counts, ids_hash, text_hash, kept = [], [], [], []
             for mine in own.encode_all(part.column("text").fill_null("").to_pylist()):
                 decoded = hashlib.sha256()
