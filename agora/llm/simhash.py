@@ -158,18 +158,19 @@ def links(distinct: DataFrame, max_distance: int = 3, block: int = 1000) -> Data
     rows is dealt out: its rows fall into blocks by hash, and each pair of
     blocks is one group of at most about two blocks of rows."""
     cells = materialize(_cells(distinct, max_distance), "cells")
-    crowded = materialize(
+    # A cell gives links if it holds two rows, one of them in its own cell.
+    shared = materialize(
         cells.groupBy("part", "cell")
         .agg(F.count("*").alias("n"), F.min("probe").alias("only_probes"))
-        .where(f"n > {block} and not only_probes")
+        .where("n > 1 and not only_probes")
         .select("part", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")),
-        "crowded",
+        "shared",
     )
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
     dealt = (
-        cells.join(crowded, ["part", "cell"], "left")
+        cells.join(shared, ["part", "cell"])
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "probe", "fp")
     )
     keys = ["part", "cell", "i", "j"]
