@@ -132,7 +132,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in bounded_slices(batches, "text", 16 << 20):
+        for part in bounded_slices(batches, "text", 8 << 20):
             lang, source = (part.column(k).dictionary_encode() for k in ("lang", "source"))
             group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
             term, g, n, held = count_terms(part.column("text"), group)
