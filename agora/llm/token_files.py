@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from agora.llm.bpe import byte_alphabet
-from agora.llm.common import bounded_slices, map_arrow, materialize, shared_folder
-from agora.llm.merging import PairMerges, packed
+from agora.llm.common import bounded_slices, map_arrow, materialize, shared_folder, split_words
+from agora.llm.merging import PairMerges
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -43,22 +42,22 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 #: Words of which letters and signs can be encoded apart: Latin-1 letters
 #: (composed, of one code point in either case), then ASCII signs.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{de}\x{e0}-\x{f6}\x{f8}-\x{ff}]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
-    """Encodes with a tokenizers file, remembering the words between ASCII
-    white space and, of plain words, their lower-cased letters and the signs
-    behind them. The file must drop white space, lower-case, and never join
-    letters with signs (as the word-level BPE does), so that a text's ids are
-    its pieces' ids in order. Letters that the memo lacks are merged together
-    by the file's merge list, everything else goes through the library.
-    Memory is bounded: a memo starts anew, from the words in use, beyond
-    ``remember`` entries, and keeps nothing longer than ``LONGEST``."""
+    """Encodes with a tokenizers file, slice by slice. The file must drop
+    white space, lower-case, and never join letters with signs (as the
+    word-level BPE does), so that a text's ids are its pieces' ids in order:
+    the words between ASCII white space and, of plain words, their
+    lower-cased letters and the signs behind them. A slice's distinct words
+    are looked at once. The letters of plain words are merged together by the
+    file's merge list; everything else goes through the library and is
+    remembered, ``remember`` pieces of up to ``LONGEST`` bytes at most."""
 
     LONGEST = 64
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, remember: int = 100_000) -> None:
         # Spark runs a worker on each core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -79,54 +78,57 @@ class WordEncoder:
         for char, byte in of.items():
             self.inner[byte], self.last[byte] = vocab[char], vocab[char + end]
         self.remember = remember
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-
-    def _library(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _merged(self, letters: list[str]) -> list[bytes]:
-        """Ids of words of lower-case letters (one pre-token each)."""
-        data = [x.encode() for x in letters]
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        joined = np.frombuffer(b"".join(data), np.uint8)
-        symbols = self.inner[joined]
-        ends = np.cumsum(lengths) - 1
+        self.known: dict[str, np.ndarray] = {}
+
+    def _library(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and their numbers."""
+        found = []
+        for piece in pieces.to_pylist():
+            ids = self.known.get(piece)
+            if ids is None:
+                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.int64)
+                if len(piece) <= self.LONGEST:
+                    self.known[piece] = ids
+            found.append(ids)
+        if len(self.known) > self.remember:
+            self.known = {}
+        return np.concatenate([*found, np.empty(0, np.int64)]), np.array([len(x) for x in found], np.int64)
+
+    def _merged(self, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of lower-case letters (one pre-token each)."""
+        if not len(letters):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.frombuffer(letters.buffers()[1], np.int32, len(letters) + 1, 4 * letters.offset)
+        lengths, joined = np.diff(at).astype(np.int64), np.frombuffer(letters.buffers()[2], np.uint8)[at[0] : at[-1]]
+        symbols, ends = self.inner[joined], np.cumsum(lengths) - 1
         symbols[ends] = self.last[joined[ends]]
-        return packed(*self.rounds.merge(symbols, lengths), self.kind)
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Puts new words' ids into the memo."""
-        plain, other = {}, []
-        for word in words:
-            found = PLAIN.fullmatch(text := word.decode()) if len(word) <= self.LONGEST else None
-            if found:
-                plain[word] = (found[1].lower(), found[2])
-            else:
-                other.append((word, text))
-        letters = list({x for x, _ in plain.values()}.difference(self.pieces))
-        self.pieces.update(zip(letters, self._merged(letters), strict=True))
-        for signs in {x for _, x in plain.values()}.difference(self.pieces):
-            self.pieces[signs] = self._library(signs)
-        pieces = self.pieces
-        self.words.update((word, pieces[x] + pieces[y]) for word, (x, y) in plain.items())
-        self.words.update((word, self._library(text)) for word, text in other)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids (``kind``) of each text."""
-        parts = [text.encode().split() for text in texts]
-        wanted = set().union(*parts)
-        words = self.words
-        self._learn(wanted.difference(words))
-        out = [b"".join(map(words.__getitem__, mine)) for mine in parts]
-        long = [w for w in wanted if len(w) > self.LONGEST]
-        for word in long:
-            del words[word]
-        if len(words) > self.remember:
-            self.words = {w: words[w] for w in wanted.difference(long)}
-        if len(self.pieces) > self.remember:
-            self.pieces = {}
-        return out
+        return self.rounds.merge(symbols, lengths)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids (``kind``) of each text (no nulls)."""
+        words, bounds = split_words(texts)
+        coded = words.dictionary_encode()
+        distinct, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.binary_length(distinct), self.LONGEST)
+        parts = pc.extract_regex(pc.if_else(short, distinct, ""), PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        letters = pc.utf8_lower(parts.field("letters").filter(pa.array(plain))).dictionary_encode()
+        signs = parts.field("signs").filter(pa.array(plain)).dictionary_encode()
+        # Piece 0 is empty; the letters', the signs' and the other words' pieces follow.
+        found = [self._merged(letters.dictionary), self._library(signs.dictionary), self._library(distinct.filter(pa.array(~plain)))]
+        pool = np.concatenate([x for x, _ in found]).astype(self.kind)
+        size = np.concatenate([[0], *[n for _, n in found]])
+        start = np.cumsum(size) - size
+        first, second = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        first[plain] = 1 + letters.indices.to_numpy(zero_copy_only=False)
+        second[plain] = 1 + len(letters.dictionary) + signs.indices.to_numpy(zero_copy_only=False)
+        first[~plain] = 1 + len(letters.dictionary) + len(signs.dictionary) + np.arange((~plain).sum())
+        pieces = np.stack([first[place], second[place]], axis=1).ravel() if len(place) else np.empty(0, np.int64)
+        many = size[pieces]
+        ends = np.cumsum(many)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[pieces] - (ends - many), many)]
+        at = np.concatenate([[0], ends])[2 * bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -247,7 +249,7 @@ def write(
                 sink = store.open_output_stream(temporary)
                 writer = Writer(sink, encoder.kind, length, rows)
             sizes = []
-            for mine in encoder.encode(part.column("text").fill_null("").to_pylist()):
+            for mine in encoder.encode(part.column("text").fill_null("")):
                 writer.add(mine + end)
                 sizes.append(len(mine) // encoder.kind.itemsize + 1)
             ends = offset + np.cumsum(sizes)
