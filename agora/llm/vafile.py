@@ -32,15 +32,19 @@ from agora.llm.common import map_arrow, materialize
 @dataclass(frozen=True)
 class Search:
     """``k``: results of a query; ``cells`` of a dimension (at most 256);
-    ``sample``: vectors the cell limits are fitted on; block sizes;
+    ``sample``: vectors the cell limits are fitted on; block sizes, which
+    decide how often approximations and queries are copied (once per block of
+    the other side), and ``step``, the queries that a task works off at a
+    time, which decides its memory;
     ``salts``: shares into which the ids of equal vectors are dealt before
     the smallest are found."""
 
     k: int = 10
     cells: int = 256
     sample: int = 4096
-    vector_block: int = 4096
-    query_block: int = 256
+    vector_block: int = 16384
+    query_block: int = 16384
+    step: int = 128
     salts: int = 16
 
 
@@ -165,15 +169,16 @@ def filtered(queries: DataFrame, codes: DataFrame, limits: np.ndarray, plan: Sea
                 code = np.frombuffer(b"".join(vectors.field("code").to_pylist()), np.uint8).reshape(len(vid), width)
                 qid = asked.field("qid").to_numpy(zero_copy_only=False)
                 q = _matrix(asked.field("v"), width).astype(np.float64)
-                lower, upper = bounds(q, code, limits, low, high)
-                if len(vid) > keep:
-                    best = np.partition(lower, len(vid) - keep, axis=1)[:, len(vid) - keep]
-                    row, col = np.nonzero(upper >= best[:, None])
-                else:
-                    row, col = np.nonzero(np.ones(lower.shape, bool))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[row]), pa.array(vid[col]), pa.array(lower[row, col]), pa.array(upper[row, col])], schema=out
-                )
+                for at in range(0, len(qid), plan.step):
+                    lower, upper = bounds(q[at : at + plan.step], code, limits, low, high)
+                    if len(vid) > keep:
+                        best = np.partition(lower, len(vid) - keep, axis=1)[:, len(vid) - keep]
+                        row, col = np.nonzero(upper >= best[:, None])
+                    else:
+                        row, col = np.nonzero(np.ones(lower.shape, bool))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(qid[at + row]), pa.array(vid[col]), pa.array(lower[row, col]), pa.array(upper[row, col])], schema=out
+                    )
 
     found = materialize(map_arrow(pairs, run, "qid long, vid long, lower double, upper double"), "filtered")
     return _reaching(found, "lower", keep)

@@ -7,7 +7,7 @@ import numpy as np
 from agora.llm.vafile import Search, bounds, scaled, top_k
 from pyspark.sql import functions as F
 
-FAST = Search(k=3, cells=8, sample=50, vector_block=16, query_block=4, salts=2)
+FAST = Search(k=3, cells=8, sample=50, vector_block=16, query_block=4, step=3, salts=2)
 
 
 def brute(rows: list[tuple], step: int, k: int) -> set[tuple]:
