@@ -206,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, shortest: in
         F.broadcast(known), "id"
     )
     keyed = map_arrow(sample.select("text", "toxic"), _copy_key, "text string, toxic int, copy long")
-    # One of each group of copies: their words would all look like evidence.
-    sample = materialize(keyed.dropDuplicates(["copy", "toxic"]).drop("copy"), "labelled")
+    # One of each group of copies, always the same one: their words would all look like evidence.
+    alone = keyed.groupBy("copy", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = materialize(alone.select("text", "toxic"), "labelled")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:

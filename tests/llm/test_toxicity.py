@@ -85,3 +85,14 @@ def test_one_class_gives_an_empty_model(spark, small):
     model = fit(docs, labels.where("toxic = 0"))
     assert model == Model()
     assert len({r.score for r in score(docs, model).collect()}) == 1
+
+
+def test_model_does_not_depend_on_partitions(spark, small):
+    docs, labels = small
+    # Copies of one document, by the folded words, with different texts.
+    more = spark.createDataFrame([(5000 + k, "ka ra " * (k % 3 + 1) + "grubble" + "!" * k, "x") for k in range(40)], docs.schema)
+    marks = spark.createDataFrame([(5000 + k, 1) for k in range(40)], labels.schema)
+    docs, labels = docs.unionAll(more), labels.unionAll(marks)
+    models = [fit(docs.repartition(n), labels.repartition(m)) for n, m in ((1, 3), (7, 1))]
+    assert models[0] == models[1]
+    assert models[0].lexicon
