@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import pytest
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agora.catalog import clean
+from agora.functions.metrics import month_label
 from agora.operators import cleaning
 from agora.plans.inspect import plan_text
 from agora.sources import readers, sinks, store
@@ -248,6 +250,41 @@ def test_an_update_without_months_and_with_repeated_rows(spark, tmp_path):
     assert {r.order_id for r in sinks.read_flat_table(spark, path).collect()} == {"A"}
 
 
+def test_the_update_query_joins_the_flat_rows_once(spark, monkeypatch):
+    from agora import catalog
+
+    orders = [order("A", purchase=0), order("B", purchase=None), order("C", purchase=-8333)]
+    seen, rows = [], tables(spark, orders=orders, items=[item("A"), item("A"), item("B")])
+    monkeypatch.setattr(catalog, "flat", lambda s, d: cleaning.flat_orders(rows))
+    for name in ("write_flat_table", "update_flat_table"):
+        monkeypatch.setattr(sinks, name, lambda df, path, run=getattr(sinks, name): (seen.append(plan_text(df)), run(df, path))[1])
+    # C is of the month with another status, A of a month that is missing, B of none.
+    got = {tuple(r) for r in catalog.QUERIES["updated_flat_by_month"](spark, "").collect()}
+    assert got == {("1995-03", 1, 1, 1), ("2018-01", 2, 1, 2), (None, 1, 1, 1)}
+    assert len(seen) == 2 and not [p for p in seen if "Join" in p or "Aggregate" in p]
+
+
+def test_order_digests_add_up_longs_to_the_sum_of_the_row_hashes(spark):
+    t = tables(spark, orders=[order("A", purchase=0), order("B", purchase=None)], items=[item("A"), item("A"), item("B")])
+    flat = cleaning.flat_orders(t)
+    flat = flat.unionAll(flat.withColumn("order_status", F.lit(None).cast("string")))
+    digests = sinks.order_digests(flat)
+    hashes = flat.select("order_id", F.xxhash64(*flat.columns).alias("h")).collect()
+    assert min(r.h for r in hashes) < 0 < max(r.h for r in hashes)
+    assert {(r.order_id, r.purchase_month, r.n, int(r.digest)) for r in digests.collect()} == {
+        (k, m, sum(r.order_id == k for r in hashes), sum(r.h for r in hashes if r.order_id == k)) for k, m in (("A", "2018-01"), ("B", None))
+    }
+    assert digests.schema["digest"].dataType.simpleString() == "decimal(38,0)"
+    assert {"partial_sum(high", "partial_sum(low"} <= set(re.findall(r"partial_sum\(\w+", plan_text(digests)))
+
+
+def test_month_labels_are_the_start_of_the_text_of_the_time(spark):
+    times = ["0001-01-01 00:00:00", "0999-12-31 23:59:59", "1000-01-01 00:00:00", "1582-10-10 12:00:00", "2018-03-25 02:30:00", "9999-12-31 23:59:59.999999", "+10000-02-01 00:00:00", None]
+    df = spark.createDataFrame([(x,) for x in times], "x string").select(F.col("x").cast("timestamp_ntz").alias("t"))
+    got = df.select(month_label("t").alias("m"), F.substring(F.col("t").cast("string"), 1, 7).alias("text")).collect()
+    assert [r.m for r in got] == [r.text for r in got] and got[-1].m is None and got[4].m == "2018-03"
+
+
 def _reviews_file(rng, records, newline="\n"):
     """A reviews file with quoted line breaks, doubled quotes and blank lines."""
     lines = [",".join(f.name for f in CSV_TABLES["reviews"])]
